@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .fingerprints import compare_with_edits
+from .html_text import extract_text
 from .quality import quality_scores
 from .secrets import secret_spans
 from .sharding import assign_shards
@@ -35,12 +36,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_sharding": op5_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
