@@ -1,0 +1,32 @@
+"""Connected components of an edge table by alternating stars, one written table a round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import materialize
+
+
+def _directed(edges: DataFrame) -> DataFrame:
+    return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """(node, root): for each node of an edge, the smallest node that it reaches. Ids are longs."""
+    edges = materialize(_directed(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))), "edges")
+    state = None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        state = now
+        # larger neighbours of each node go to its smallest neighbour
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        # smaller neighbours, and the node itself, go to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = materialize(_directed(small), "edges")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .fingerprints import compare_with_edits
 from .html_text import extract_text
+from .ngram_join import jaccard_components
 from .quality import quality_scores
 from .secrets import secret_spans
 from .sharding import assign_shards
@@ -24,6 +25,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_sharding": op5_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,

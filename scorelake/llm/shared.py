@@ -62,3 +62,28 @@ def ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str], name:
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     return df.join(offsets, [*keys, bucket]).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).drop("_before")
+
+
+def join_entries(rows: DataFrame, entries: DataFrame, keys: list[str], size: str, n_rows: int, share: int = 1000) -> DataFrame:
+    """Inner join of rows with entries, which have one row for each key and the number of rows with it in `size`.
+
+    Keys of more than n_rows / share rows are fewer than share; their entries are broadcast, so a hot
+    key's rows stay where they are. The others are joined by key. Keys must not be null.
+    """
+    least = max(2, n_rows // share + 1)
+    hot = F.broadcast(entries.filter(F.col(size) >= least).withColumn("_hot", F.lit(True)))
+    seen = rows.join(hot, keys, "left")
+    columns = [*rows.columns, *(c for c in entries.columns if c not in keys)]
+    rest = seen.filter("_hot is null").select(rows.columns).join(entries.filter(F.col(size) < least), keys)
+    return seen.filter("_hot").select(columns).unionByName(rest.select(columns))
+
+
+def in_bitmap(wanted: DataFrame, column: str, probe: Column, bits: int = 18) -> Column:
+    """False only where probe is not among wanted's values: a bitmap of 2**bits cells, whatever wanted's size."""
+    cells = [r[0] for r in wanted.select(F.pmod(F.col(column), F.lit(1 << bits)).cast("int").alias("c")).distinct().collect()]
+    words = [0] * (1 << (bits - 6))
+    for c in cells:
+        words[c >> 6] |= 1 << (c & 63)
+    table = F.lit([w - (1 << 64) if w >> 63 else w for w in words])
+    cell = F.pmod(probe, F.lit(1 << bits)).cast("int")
+    return F.getbit(F.get(table, F.shiftright(cell, 6)), cell.bitwiseAND(F.lit(63))) == 1
