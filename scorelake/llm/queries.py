@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .fingerprints import compare_with_edits
 from .html_text import extract_text
+from .mixing import mixed_positions
 from .ngram_join import jaccard_components
+from .packing import packed
 from .quality import quality_scores
 from .secrets import secret_spans
 from .sharding import assign_shards
@@ -21,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_positions(table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -47,9 +57,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_source_mixing": op2_source_mixing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_html_extraction": op10_html_extraction,
