@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -423,7 +423,7 @@ def _forest(sets: list[np.ndarray], roots: np.ndarray, blocks: np.ndarray, rule:
 
 
 def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_shingles, component_id, class_id.
+    """One row for each document: id, n_shingles, component_id, class_id, text_hash.
 
     A document's set: its distinct k-word shingles, A-Z lower-cased; with fewer words, all of them as one.
     Documents link when den * intersection >= num * union; component_id is the smallest id in reach. Without
@@ -453,7 +453,26 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     classes = classes.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     entries = classes.join(least, "root").select("d", "rows", "component_id")
-    found = join_entries(sets.select("id", "n", "d"), entries, ["d"], "rows", slim.count())
-    alone = slim.filter("n = 0").select("id", "n", "d", F.col("id").alias("component_id"))
-    out = found.select("id", "n", "d", "component_id").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("d").alias("class_id"))
+    found = join_entries(sets.select("id", "h", "n", "d"), entries, ["d"], "rows", slim.count())
+    alone = slim.filter("n = 0").select("id", "h", "n", "d", F.col("id").alias("component_id"))
+    out = found.select("id", "h", "n", "d", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("d").alias("class_id"), F.col("h").alias("text_hash"))
+
+
+def one_of_each_component(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, of which one of each component of linked documents stays: the one with the smallest id.
+
+    Of several rows with that id, the one with the smallest text hash stays. Documents without words are linked with
+    nothing and stay, as do components in which all ids are null.
+    """
+    found = materialize(jaccard_components(df, k, num, den, id_col, text_col), "ngram-components")
+    linked = found.filter("n_shingles > 0 and component_id is not null").select("component_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_text"))
+    first = linked.filter("_id = component_id").groupBy("component_id").agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    linked = linked.join(first, "component_id")
+    gone = linked.filter("_id is null or _id <> component_id or _text <> _first").select("_id", "_text").distinct()
+    repeated = first.filter("_n > 1").select(F.col("component_id").alias("_id"), F.col("_first").alias("_text"))
+    rows = df.withColumns({"_of": df[id_col].cast("long"), "_hash": F.xxhash64(text_or_empty(df, text_col))})
+    same = lambda other: rows["_of"].eqNullSafe(other["_id"]) & (rows["_hash"] == other["_text"])
+    rows = rows.join(gone, same(gone), "left_anti")
+    again = rows.join(repeated, same(repeated), "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("_of", "_hash").orderBy("_hash"))).filter("_rank = 1")
+    return rows.join(repeated, same(repeated), "left_anti").select(df.columns).unionByName(again.select(df.columns))
