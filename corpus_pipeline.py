@@ -1,5 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents that pass each stage, in the end packed into batches.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as
+the next one's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scorelake.llm.exact_dedup import kept_documents
+from scorelake.llm.mixing import mixed_documents
+from scorelake.llm.ngram_join import one_of_each_component
+from scorelake.llm.packing import packed
+from scorelake.llm.quality import accepted
+from scorelake.llm.shared import shared_folder
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text the one with the largest id stays."""
+    return kept_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the smallest id stays."""
+    return one_of_each_component(docs, k=5, num=80, den=100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of training: files and rows follow the mix of sources. Packing keeps that order."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their bucket, batch and slot; batches take them in the order of their files."""
+    return packed(docs, keep=docs.columns)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
+]
+
+#: The classifier and the shingle join are not expressible; tests/llm compare with brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of sf_dir, each result on shared files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared_folder(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
