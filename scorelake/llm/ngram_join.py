@@ -423,13 +423,13 @@ def _forest(sets: list[np.ndarray], roots: np.ndarray, blocks: np.ndarray, rule:
 
 
 def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_shingles, component_id, class_id, text_hash.
+    """One row for each document: id, n_shingles, component_id, class_id, component_class, text_hash.
 
     A document's set: its distinct k-word shingles, A-Z lower-cased; with fewer words, all of them as one.
     Documents link when den * intersection >= num * union; component_id is the smallest id in reach. Without
     words, null texts included, the set is empty and links with nothing. Rows with a null id are linked like
     others, but lend no id: a component of such rows only has a null one. Repeated rows are one class
-    (class_id), linked. Sets are compared by 64-bit hashes of their shingles. Other columns are not looked at.
+    (class_id), linked; component_class tells components apart where ids repeat. Sets are compared by 64-bit hashes of their shingles. Other columns are not looked at.
     """
     rule = Rule(k, num, den)
     text = text_or_empty(df, text_col)
@@ -452,11 +452,11 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     roots = components(links).withColumnRenamed("node", "d")
     classes = classes.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    entries = classes.join(least, "root").select("d", "rows", "component_id")
+    entries = classes.join(least, "root").select("d", "rows", "component_id", "root")
     found = join_entries(sets.select("id", "h", "n", "d"), entries, ["d"], "rows", slim.count())
-    alone = slim.filter("n = 0").select("id", "h", "n", "d", F.col("id").alias("component_id"))
-    out = found.select("id", "h", "n", "d", "component_id").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("d").alias("class_id"), F.col("h").alias("text_hash"))
+    alone = slim.filter("n = 0").select("id", "h", "n", "d", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    out = found.select("id", "h", "n", "d", "component_id", "root").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("d").alias("class_id"), F.col("root").alias("component_class"), F.col("h").alias("text_hash"))
 
 
 def one_of_each_component(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -466,9 +466,9 @@ def one_of_each_component(df: DataFrame, k: int = 5, num: int = 80, den: int = 1
     nothing and stay, as do components in which all ids are null.
     """
     found = materialize(jaccard_components(df, k, num, den, id_col, text_col), "ngram-components")
-    linked = found.filter("n_shingles > 0 and component_id is not null").select("component_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_text"))
-    first = linked.filter("_id = component_id").groupBy("component_id").agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    linked = linked.join(first, "component_id")
+    linked = found.filter("n_shingles > 0 and component_id is not null").select("component_class", "component_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_text"))
+    first = linked.filter("_id = component_id").groupBy("component_class", "component_id").agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    linked = linked.join(first.drop("component_id"), "component_class")
     gone = linked.filter("_id is null or _id <> component_id or _text <> _first").select("_id", "_text").distinct()
     repeated = first.filter("_n > 1").select(F.col("component_id").alias("_id"), F.col("_first").alias("_text"))
     rows = df.withColumns({"_of": df[id_col].cast("long"), "_hash": F.xxhash64(text_or_empty(df, text_col))})
