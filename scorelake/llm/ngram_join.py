@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from scorelake.operators.grouping import components
+
 from .shared import in_bitmap, join_entries, materialize, ranked, text_or_empty
 from .words import mixed, shingle_hashes, word_hashes
 

@@ -1,32 +1,13 @@
-"""What the operators of this subpackage share: the shared folder, slim tables, distributed ranks."""
+"""What the operators of this subpackage share: distributed ranks, joins of hot keys, bitmaps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.sources.tables import materialize, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='scorelake-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bits_for", "flipped", "in_bitmap", "join_entries", "materialize", "prefix", "ranked", "shared_folder", "text_or_empty"]
 
 
 def text_or_empty(df: DataFrame, text_col: str) -> Column:
