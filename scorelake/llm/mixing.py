@@ -105,7 +105,7 @@ def tempered(rows: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
     return {s: float(n) ** exponent for s, n in rows.items()}
 
 
-def mixed_positions(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = 64, rows_per_task: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+def mixed_positions(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = 64, rows_per_task: int = 2_000, keep: list[str] | None = None) -> DataFrame:
     """The rows of df with mix_phase, mix_block, mix_slot and mix_position (gapless from 0: the order of training).
 
     weights: target weight of each source; without, the square roots of their numbers of rows. A source
