@@ -78,9 +78,9 @@ def packed(df: DataFrame, budget: int = 32_768, buckets: int = 16, id_col: str =
     order = arrival(df)
     size = length if length is not None else words_of(text_or_empty(df, text_col))
     own = df.select(F.struct(*(df[c] for c in names)).alias("row"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64(df[id_col]).alias("h"), *((order[0].alias("file"), order[1].alias("line")) if order else (F.lit("").alias("file"), F.lit(0).cast("long").alias("line"))))
-    slim = own.select("n_tokens", "h", "file", "line") if keep else own
-    own, slim = (own, materialize(slim, "pack-keys")) if keep else (materialize(own, "pack-keys"),) * 2
-    histogram = [(r[0], r[1]) for r in slim.groupBy(bin_top(F.col("n_tokens"))).count().collect()]
+    # written once, else the words are counted anew for each boundary that a length is compared with
+    own = materialize(own, "pack-keys")
+    histogram = [(r[0], r[1]) for r in own.groupBy(bin_top(F.col("n_tokens"))).count().collect()]
     edges = boundaries(histogram, buckets)
     bits = bits_for(sum(n for _, n in histogram), rows_per_task)
     table = F.lit(edges) if edges else F.array().cast("array<long>")
