@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, text_or_empty
@@ -144,7 +144,21 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def with_following(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 8_000) -> DataFrame:
+#: The most ranges of ids; beyond, ranges get longer.
+MOST_RANGES = 1 << 16
+
+
+def _cuts_up_to(cuts: list[int], column: Column) -> Column:
+    """How many of the rising cuts are at most the column's value: first by whole chunks of cuts, then inside one."""
+    if not cuts:
+        return F.lit(0)
+    chunk = max(1, round(len(cuts) ** 0.5))
+    table = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
+    whole = F.size(F.filter(table(cuts[chunk - 1 :: chunk]), lambda e: e <= column))
+    return whole * chunk + F.size(F.filter(F.slice(table(cuts), whole * chunk + 1, F.lit(chunk)), lambda e: e <= column))
+
+
+def with_following(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 2_000) -> DataFrame:
     """id, text and the text of the next document in descending order of ids; after the last comes the first.
 
     The ids are cut into ranges of about rows_per_task rows; each range gets a copy of the first row
@@ -153,11 +167,10 @@ def with_following(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ids = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text_or_empty(df, text_col)).alias("h"))
     ids = materialize(ids, "following-ids")
-    ranges = min(4096, max(1, -(-ids.count() // rows_per_task)))
+    ranges = min(MOST_RANGES, max(1, -(-ids.count() // rows_per_task)))
     cuts = sorted({int(x) for x in ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
     # the range's number rises as ids fall; null ids are in the last one
-    edges = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    place = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(edges, lambda e: e > F.col("id"))))
+    place = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _cuts_up_to(cuts, F.col("id")))
     first = ids.withColumn("range", place).groupBy("range").agg(F.min(F.struct(F.col("id").isNull().alias("n"), (-F.col("id")).alias("down"), F.col("h"))).alias("first"))
     found = sorted(first.collect(), key=lambda r: r["range"])  # one row for each range
     before = [(found[k - 1]["range"], r["first"]["n"], r["first"]["down"], r["first"]["h"]) for k, r in enumerate(found)]
