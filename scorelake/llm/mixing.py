@@ -1,27 +1,33 @@
 """Mixing sources to target weights by Pfair scheduling of their blocks.
 
-The rows of each source are cut into blocks of equal length. A source of weight w gets windows: its
-j-th block (from 1) may take a slot from floor((j - 1) / w) on and must have one before ceil(j / w).
-Each slot goes to the block with the earliest deadline among those released. The weights are whole
-multiples of 1 / PERIOD, so the slots of a period repeat: one period, a table of fixed size, gives
-the slot of every block by arithmetic, and no scheduler sees the data. After any number of slots, a
-source has less than one block more or less than its share. When a source has no block left, a new
-phase begins, in which the others share by the same weights.
+The rows of each source are cut into blocks of equal length. If all sources were drawn at once, each in
+proportion to its weight and until it is empty, source i would have given min(w_i v, blocks_i) blocks at
+virtual time v; the sum of all is the number of slots t(v) filled by then. So the j-th block (from 1) gets
+a window: it may take a slot from floor(t((j - 1) / w)) on and must have one before ceil(t(j / w)). Each
+slot goes to the block with the earliest deadline among those released. Weights are not rounded.
+
+No scheduler sees all slots: they are cut into chunks. The same rule, with chunks in place of slots, says
+how many blocks of each source come before a chunk's end, always the target rounded down or up; the slots
+of a chunk are then dealt out in one task, without regard to the others. Rounding never adds up: at a
+chunk's end a source is less than one block off its target. Shortly before it may be slightly more, where
+the blocks chosen for the chunk have later windows than those left for the next (1.35 in the test).
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import bits_for, materialize, prefix, ranked, text_or_empty
 
-#: Slots of a period, for each phase; and the most sources, so that the table of all phases has a bound.
-PERIOD, MOST_SOURCES = 2048, 256
-
+#: Slots of a chunk at least, and chunks at most; and the most sources.
+PERIOD, MOST_CHUNKS, MOST_SOURCES = 2048, 4096, 256
+#: What rounding of numbers may add to a number of slots.
+TINY = 1e-7
 
 def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Weights as numbers of slots in a period, 1 at least, adding up to the period (largest remainders; ties by name)."""
@@ -38,71 +44,139 @@ def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str,
     return slots
 
 
+def earliest_deadlines(windows: list[tuple], first: int = 0) -> list[tuple]:
+    """(name, number, slot) of the jobs (name, number, release, deadline), a slot each from first on: earliest deadline first among the released.
+
+    Jobs of a name are in order. Where none is released, the next to be released comes early.
+    """
+    coming = sorted((release, deadline, name, j) for name, j, release, deadline in windows)
+    ready: list[tuple] = []
+    out, at = [], 0
+    for slot in range(first, first + len(coming)):
+        while at < len(coming) and (coming[at][0] <= slot or not ready):
+            _, deadline, name, j = coming[at]
+            heapq.heappush(ready, (deadline, name, j))
+            at += 1
+        _, name, j = heapq.heappop(ready)
+        out.append((name, j, slot))
+    return out
+
+
 def period_slots(slots: dict[str, int]) -> dict[str, list[int]]:
     """The slots of each source in one period: earliest deadline first among released blocks; ties by name."""
     period = sum(slots.values())
-    release = [(0, s, 1) for s in sorted(slots)]
-    heapq.heapify(release)
-    ready: list[tuple[int, str, int]] = []
     found: dict[str, list[int]] = {s: [] for s in slots}
-    for t in range(period):
-        while release and release[0][0] <= t:
-            _, s, j = heapq.heappop(release)
-            heapq.heappush(ready, (-(-j * period // slots[s]), s, j))
-        _, s, j = heapq.heappop(ready)
+    for s, _, t in earliest_deadlines([(s, j, j * period // n, -(-(j + 1) * period // n)) for s, n in slots.items() for j in range(n)]):
         found[s].append(t)
-        if j < slots[s]:
-            heapq.heappush(release, (j * period // slots[s], s, j + 1))
     return found
 
 
-def phases(rows: dict[str, int], weights: dict[str, float], block: int, period: int = PERIOD) -> list[tuple]:
-    """(source, phase, first block, end block, first slot, rows missing before, slots in a period): all blocks of all sources get a slot."""
-    left = {s: -(-n // block) for s, n in rows.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, slot, missing, phase = [], 0, 0, 0
-    while left:
-        # at most one slot in two periods is lost to rounding, however many sources there are
-        table = period_slots(whole_weights({s: weights[s] for s in left}, max(period, 2 * len(left))))
-        span = max(period, 2 * len(left))
-
-        def at(s, n):
-            """The slot after the n-th block of s."""
-            return (n - 1) // len(table[s]) * span + table[s][(n - 1) % len(table[s])] + 1
-
-        length = min(at(s, n) for s, n in left.items())
-        short = 0
-        for s in sorted(left):
-            full, rest = divmod(length, span)
-            taken = full * len(table[s]) + sum(t < rest for t in table[s])
-            if taken:
-                out.append((s, phase, done[s], done[s] + taken, slot, missing, span, table[s]))
-            done[s] += taken
-            left[s] -= taken
-            if not left[s]:
-                short += done[s] * block - rows[s]
-        left = {s: n for s, n in left.items() if n}
-        slot, missing, phase = slot + length, missing + short, phase + 1
-    return out
+def _curve(w: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Virtual times, and the blocks that n sources each of these weights and blocks have given by then; linear between."""
+    order = np.argsort(blocks / w, kind="stable")
+    times = np.concatenate([[0.0], (blocks / w)[order]])
+    rates = np.cumsum((w * n)[order][::-1])[::-1]
+    given = np.concatenate([[0.0], np.cumsum(np.diff(times) * rates)])
+    return times, given * ((blocks * n).sum() / given[-1])
 
 
-_PHASE = T.StructType(
-    [
-        T.StructField("source_key", T.StringType()),
-        T.StructField("phase", T.IntegerType()),
-        T.StructField("first", T.LongType()),
-        T.StructField("end", T.LongType()),
-        T.StructField("slot0", T.LongType()),
-        T.StructField("missing", T.LongType()),
-        T.StructField("span", T.LongType()),
-        T.StructField("slots", T.ArrayType(T.LongType())),
-    ]
-)
+class Plan:
+    """Slots for the blocks of some classes of sources, chunk by chunk.
 
+    sizes: (class, weight, blocks, number of sources with them).
+    """
 
-def tempered(rows: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
-    """Target weights that flatten the sources' sizes."""
-    return {s: float(n) ** exponent for s, n in rows.items()}
+    def __init__(self, sizes: list[tuple], period: int = PERIOD, most_chunks: int = MOST_CHUNKS):
+        self.names = sorted({r[0] for r in sizes})
+        cls = np.array([r[0] for r in sizes])
+        w, blocks, n = (np.array([r[k] for r in sizes], np.float64) for k in (1, 2, 3))
+        self.all = _curve(w, blocks, n)
+        self.own = [_curve(w[cls == c], blocks[cls == c], n[cls == c]) for c in self.names]
+        total = int((blocks * n).sum())
+        span = max(period, -(-total // most_chunks))
+        self.ends = np.minimum(np.arange(-(-total // span) + 1) * span, total)
+        #: virtual times of the chunks' ends
+        self.times = np.interp(self.ends, self.all[1], self.all[0])
+        target = np.array([np.interp(self.times, *c) for c in self.own])
+        target[:, -1] = [round(c[1][-1]) for c in self.own]
+        low, high = np.floor(target + TINY), np.ceil(target - TINY)
+        due = np.array([np.interp(x + 1, c[1], c[0]) for x, c in zip(low, self.own, strict=True)])
+        #: blocks of each class before each chunk's end
+        self.before = np.zeros(target.shape, np.int64)
+        for q in range(1, len(self.ends)):
+            taken = np.maximum(self.before[:, q - 1], low[:, q])
+            open_ = np.flatnonzero(taken < high[:, q])
+            free = int(self.ends[q] - taken.sum())
+            taken[open_[np.argsort(due[open_, q], kind="stable")][: max(free, 0)]] += 1
+            while (free := int(self.ends[q] - taken.sum())) != 0:  # only by inexact numbers
+                step = 1 if free > 0 else -1
+                may = taken < target[:, -1] if free > 0 else taken > self.before[:, q - 1]
+                taken[np.argmax(np.where(may, step * (target[:, q] - taken), -np.inf))] += step
+            self.before[:, q] = taken
+
+    def chunk_slots(self, q: int) -> list[tuple]:
+        """(class, number of the block in its class, slot) of chunk q."""
+        windows = []
+        for name, curve, a, b in zip(self.names, self.own, self.before[:, q], self.before[:, q + 1], strict=True):
+            if a < b:
+                at = np.interp(np.interp(np.arange(a, b + 1), curve[1], curve[0]), *self.all)
+                release, deadline = np.floor(at[:-1] + TINY).astype(int), np.ceil(at[1:] - TINY).astype(int)
+                windows += zip([name] * int(b - a), range(a, b), release.tolist(), deadline.tolist(), strict=True)
+        return earliest_deadlines(windows, int(self.ends[q]))
+
+
+def _sources(df: DataFrame, source, weights: dict[str, float] | None, block: int) -> DataFrame:
+    """source_key, n, blocks, w, cls and u of each source: its rows and blocks, its weight, its class and where in a block's window it stands."""
+    counts = df.groupBy(source.alias("source_key")).agg(F.count(F.lit(1)).alias("n"))
+    if weights:
+        positive = [float(w) for w in weights.values() if w > 0]
+        least = min(positive, default=1.0)
+        last = sum(positive, least) * 2.0**-40
+        given = df.sparkSession.createDataFrame([(s, max(float(w), last)) for s, w in weights.items()], "source_key string, w double")
+        counts = counts.join(given, "source_key", "left").withColumn("w", F.coalesce("w", F.lit(least)))
+    else:
+        counts = counts.withColumn("w", F.sqrt("n"))
+    counts = materialize(counts.withColumn("blocks", F.ceil(F.col("n") / block)), "mix-sources")
+    counts = counts.withColumns({"cls": F.col("source_key"), "u": F.lit(1.0)})
+    if counts.count() > MOST_SOURCES:
+        raise ValueError(f"at most {MOST_SOURCES} sources can be mixed")
+    return counts
+
+
+
+def _placed(sources: DataFrame, block: int) -> DataFrame:
+    """source_key, block, slot, chunk, phase (sources that are empty before the slot) and start (rows before it) of all blocks."""
+    spark = sources.sparkSession
+    sizes = [tuple(r) for r in sources.groupBy("cls", "w", "blocks").count().collect()]
+    if not sizes:
+        return spark.createDataFrame([], "source_key string, block long, slot long, phase long, start long")
+    plan = Plan(sizes)
+    edges, chunks = plan.times[1:-1], len(plan.ends) - 1
+
+    @F.pandas_udf("long")
+    def chunk_of(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy()))
+
+    def dealt(batches):
+        for batch in batches:
+            for q in batch["id"]:
+                out = pd.DataFrame(plan.chunk_slots(q), columns=["cls", "k", "slot"])
+                yield out.assign(chunk=q)
+
+    # a source's blocks in two steps, so that no array is long
+    ranges = sources.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(4096).cast("long"))))
+    blocks = ranges.withColumn("block", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 4095, F.col("blocks") - 1))))
+    blocks = blocks.withColumn("v", (F.col("block") + F.col("u")) / F.col("w"))
+    blocks = blocks.select("source_key", "block", "cls", "v", chunk_of("v").alias("near"), F.least(F.lit(block), F.col("n") - F.col("block") * block).alias("rows"), (F.col("block") == F.col("blocks") - 1).cast("long").alias("last"))
+    blocks = ranked(blocks, ["cls"], "near", ["v", "source_key"], "k")
+    slots = spark.range(0, chunks, 1, min(chunks, 200)).mapInPandas(dealt, "cls string, k long, slot long, chunk long")
+    placed = materialize(blocks.join(slots, ["cls", "k"]).select("source_key", "block", "rows", "last", "slot", "chunk"), "mix-blocks")
+    before, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.partitionBy(F.lit(0)).orderBy("chunk"), Window.partitionBy("chunk").orderBy("slot")))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = placed.groupBy("chunk").agg(F.sum("rows").alias("r"), F.sum("last").alias("l"))  # MOST_CHUNKS rows at most
+    sums = sums.select("chunk", so_far("r", before).alias("r"), so_far("l", before).alias("l"))
+    placed = placed.join(F.broadcast(sums), "chunk")
+    return placed.select("source_key", "block", "slot", (F.col("l") + so_far("last", inside)).alias("phase"), (F.col("r") + so_far("rows", inside)).alias("start"))
 
 
 def mixed_positions(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = 64, rows_per_task: int = 2_000, keep: list[str] | None = None) -> DataFrame:
@@ -114,26 +188,18 @@ def mixed_positions(df: DataFrame, weights: dict[str, float] | None = None, sour
     MOST_SOURCES sources. keep: columns of df to return (default: source and id).
     """
     source = F.coalesce(df[source_col].cast("string"), F.lit(""))
-    counts = {r[0]: r[1] for r in df.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"at most {MOST_SOURCES} sources can be mixed")
-    wanted = weights or tempered(counts)
-    least = min((w for w in wanted.values() if w > 0), default=1.0)
-    plan = phases(counts, {s: wanted.get(s, least) for s in counts}, block)
-    table = F.broadcast(df.sparkSession.createDataFrame(plan, _PHASE))
-    bits = bits_for(max(counts.values(), default=0), rows_per_task)
+    sources = _sources(df, source, weights, block)
+    most = sources.agg(F.max("n")).first()[0] or 0
+    blocks = _placed(sources, block)
+    bits = bits_for(most, rows_per_task)
     # the result's new columns must not meet columns of df with their names
     own = df.select(F.struct(*(df[c] for c in (keep or [source_col, id_col]))).alias("row"), source.alias("source_key"), F.xxhash64(df[id_col], text_or_empty(df, text_col)).alias("h"))
     own = own.withColumn("part", prefix(F.col("h"), bits))
     if not keep:
         own = materialize(own, "mix-keys")
     own = ranked(own, ["source_key"], "part", ["h"], "place").withColumn("block", F.floor(F.col("place") / block).cast("long"))
-    found = own.join(table, "source_key").filter("block >= first and block < end")
-    turn = F.col("block") - F.col("first")
-    n = F.size("slots")
-    slot = F.col("slot0") + F.floor(turn / n).cast("long") * F.col("span") + F.get("slots", (turn % n).cast("int"))
-    found = found.withColumn("slot", slot)
-    position = F.col("slot") * block - F.col("missing") + F.col("place") % block
+    found = own.join(blocks, ["source_key", "block"])
+    position = F.col("start") + F.col("place") % block
     names = [*(keep or [source_col, id_col])]
     return found.select(*(F.col("row").getField(c).alias(c) for c in names), F.col("phase").alias("mix_phase"), F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), position.alias("mix_position"))
 

@@ -131,6 +131,21 @@ def test_mixing(spark):
     assert mixing.mixed_positions(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_to_the_given_weights_over_many_periods(spark):
+    """Weights that are no multiples of a period's share: the error does not add up from period to period."""
+    weights = {"a": 1.0} | {f"s{i:02}": 0.0213 + 0.0007 * i for i in range(19)}
+    total, n = sum(weights.values()), 60_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise(F.format_string("s%02d", F.col("id") % 19)).alias("source"))
+    out = mixing.mixed_positions(rows, weights, block=1).select("mix_slot", "source", "mix_phase", "mix_position").orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in out] == [r.mix_position for r in out] == list(range(n))
+    first = [r.source for r in out if r.mix_phase == 0]
+    assert len(first) > 10 * mixing.PERIOD
+    got = np.cumsum(np.array(first)[:, None] == np.array(sorted(weights)), axis=0)
+    want = np.arange(1, len(first) + 1)[:, None] * np.array([weights[s] / total for s in sorted(weights)])
+    off = np.abs(got - want).max(axis=1)
+    assert off[mixing.PERIOD - 1 :: mixing.PERIOD].max() < 1 + 1e-6 and off.max() < 1.5  # at the ends of chunks, and anywhere
+
+
 def brute_padding(histogram, buckets):
     from itertools import combinations
 
