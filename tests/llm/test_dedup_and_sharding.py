@@ -146,6 +146,36 @@ def test_mixing_keeps_to_the_given_weights_over_many_periods(spark):
     assert off[mixing.PERIOD - 1 :: mixing.PERIOD].max() < 1 + 1e-6 and off.max() < 1.5  # at the ends of chunks, and anywhere
 
 
+def test_mixing_of_many_sources(spark):
+    """A hot source, 30 of middle size and 2,000 small ones: all rows get a position, and none comes far from its turn."""
+    size = F.when(F.col("s") == 0, 20_000).when(F.col("s") <= 30, 300).otherwise(1 + F.col("s") % 7)
+    rows = spark.range(2031).withColumnRenamed("id", "s").select("s", F.explode(F.sequence(F.lit(1), size)).alias("k"))
+    rows = rows.select((F.col("s") * 100_000 + F.col("k")).alias("doc_id"), F.lit("").alias("text"), F.col("s").cast("string").alias("source"))
+    out = mixing.mixed_positions(rows, block=2).orderBy("mix_position").collect()
+    n = Counter(r.source for r in out)
+    assert sum(n.values()) == rows.count() and len(n) == 2031
+    assert [r.mix_position for r in out] == list(range(len(out)))
+    slots = defaultdict(set)
+    for r in out:
+        slots[r.mix_slot].add((r.source, r.mix_block))
+    assert all(len(x) == 1 for x in slots.values()) and sorted(slots) == list(range(len(slots)))
+    order = [next(iter(slots[t])) for t in range(len(slots))]
+    weight, blocks = {s: c**0.5 for s, c in n.items()}, {s: -(-c // 2) for s, c in n.items()}
+    names = sorted(n)
+    w, b = np.array([weight[s] for s in names]), np.array([blocks[s] for s in names])
+    left, got, v, at = b.astype(float), np.zeros(len(names)), 0.0, {s: k for k, s in enumerate(names)}
+    for s, j in order:  # all at once by weight until empty, against blocks
+        assert j == got[at[s]]
+        got[at[s]] += 1
+        slot = 1.0
+        while slot > 1e-9:
+            rate = w[left > 1e-9].sum()
+            step = min(slot / rate, (left[left > 1e-9] / w[left > 1e-9]).min())
+            left = np.where(left > 1e-9, left - w * step, 0.0)
+            slot -= rate * step
+        assert np.abs(got - (b - left)).max() < 2
+
+
 def brute_padding(histogram, buckets):
     from itertools import combinations
 
