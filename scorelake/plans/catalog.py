@@ -526,12 +526,18 @@ def job_status(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    """Symbols by document (of ten users), page, voice and system."""
+    """Symbols by document (of ten users), page, voice and system: all of them, and each page has all voices of its document.
+
+    A voice is cut into as many parts as its document has pages: 40 symbols of the longest voice each, but
+    no more pages than leave two symbols, one a system, of the shortest.
+    """
     s = rules.segmented(symbols(spark, sf_dir))
-    s = s.select((F.col("staff_id") % 10).alias("doc_id"), F.floor(F.col("staff_id") / 10).alias("voice"), F.floor(F.col("seq") / 40).alias("page_no"), (F.floor(F.col("seq") / 20) % 2).alias("system_no"), *(c for c in s.columns if c != "staff_id"))
-    # a document's pages have the voices of its shortest one
-    last = s.groupBy("doc_id", "voice").agg(F.max("page_no").alias("top")).groupBy("doc_id").agg(F.min("top").alias("top"))
-    s = s.join(last, "doc_id").filter("page_no <= top").drop("top")
+    doc, voice = (F.col("staff_id") % 10).alias("doc_id"), F.floor(F.col("staff_id") / 10).alias("voice")
+    sizes = s.groupBy(doc, voice).agg(F.count(F.lit(1)).alias("n"))
+    pages = sizes.groupBy("doc_id").agg(F.least(F.ceil(F.max("n") / 40), F.greatest(F.floor(F.min("n") / 2), F.lit(1))).alias("pages"))
+    s = s.select(doc, voice, *(c for c in s.columns if c != "staff_id")).join(sizes.join(pages, "doc_id"), ["doc_id", "voice"])
+    half = F.expr("(seq - 1) * 2 * pages div n")
+    s = s.withColumns({"page_no": F.floor(half / 2), "system_no": half % 2}).drop("n", "pages")
     first = s.groupBy("doc_id", "voice", "page_no", "system_no").agg(F.min("measure_no").alias("_first"))
     s = s.join(first, ["doc_id", "voice", "page_no", "system_no"])
     new_line = F.col("measure_no") == F.col("_first")

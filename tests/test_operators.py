@@ -222,3 +222,24 @@ def test_shared_folder_setting(spark):
 
     df = materialize(spark.range(5), "t")
     assert df.count() == 5 and spark.conf.get("spark.checkpoint.dir")
+
+
+def test_pages_keep_all_symbols_of_uneven_voices(spark, tmp_path):
+    """A hot user, and users with few events, in the same documents."""
+    from scorelake.plans import catalog
+
+    sizes = {1: 3000, 11: 5, 21: 300, 31: 1, 2: 170, 12: 90, 3: 7}
+    rows = [(u, k, ["purchase", "view", "error", "click", "signup"][(k * 7 + u) % 5 if k % 50 else 4], float(k * 13 % 997) / 4) for u, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "user_id long, k long, event_type string, value double").withColumn("event_id", F.col("user_id") * 10_000 + F.col("k"))
+    df.withColumn("ts", F.timestamp_seconds("k")).write.parquet(f"{tmp_path}/events.parquet")
+    pages = catalog._pages(spark, tmp_path)
+    assert Counter((r.doc_id + 10 * r.voice) for r in pages.collect()) == Counter(sizes)
+    each = pages.groupBy("doc_id", "page_no").agg(F.count_distinct("voice").alias("n")).collect()
+    assert {(r.doc_id, r.n) for r in each} == {(1, 4), (2, 2), (3, 1)}
+    assert {d: sum(r.doc_id == d for r in each) for d in (1, 2, 3)} == {1: 1, 2: 5, 3: 1}
+    assert pages.filter("new_page").select("doc_id", "page_no").distinct().count() == 4
+    sounding = F.col("kind").isin("note", "rest")
+    want = Counter((r.staff_id, r.kind) for r in catalog.symbols(spark, tmp_path).filter(sounding).collect())
+    assert Counter((r.doc_id + 10 * r.voice, r.kind) for r in catalog.page_assembly(spark, tmp_path).filter(sounding).collect()) == want
+    texts = {r.doc_id: r.xml for r in catalog.musicxml_text(spark, tmp_path).collect()}
+    assert {d: x.count("<note>") for d, x in texts.items()} == {d: sum(n for (u, _), n in want.items() if u % 10 == d) for d in texts}
