@@ -1,9 +1,11 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by the containers it
-stands in, its link density, its length and the density of stop words; short blocks and those
-without clear signs stay undecided. In the second pass an undecided block inherits the label of its
-nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides a block by its link density, its
+length and the density of stop words; one more sign, the kind of container that it stands in, only ever
+speaks against a block (a reader's comment or a cookie notice reads like main text). Short blocks and
+those in between stay undecided. In the second pass an undecided block inherits the label of its nearest
+decided neighbours. Being inside `article` or `main` decides nothing. On a page without any good block, the
+longest undecided one is good.
 """
 
 from __future__ import annotations
@@ -32,47 +34,52 @@ no o para pero por porque que se sin sobre su sus también un una y ya
 )
 
 _RAW = "script|style|noscript|template|textarea|iframe|svg|object|canvas|title|math"
-_TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW})(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>(?P<inside>.*?)(?:</(?P=raw)\s*+>|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+>|<[!?/][^>]*+>""", re.S | re.I)
+_TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW})(?=[\s/>])(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>(?P<inside>.*?)(?:</(?P=raw)\s*+>|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^<>]*+>|<[!?/][^>]*+>""", re.S | re.I)
 _HINT = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 #: Tags at which a block ends.
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that hold others and are kept open until they are closed.
-_HOLDS = frozenset("article aside details dialog dir div dl fieldset figure footer form head header main menu nav ol search section select span table ul button body td li blockquote p".split())
-#: Containers that hold no main text, by tag and by words of their class, id or role.
-_ASIDE_TAGS = frozenset("nav footer aside form menu dialog head select button fieldset search".split())
-_ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin search form comment comments respond reply replies discussion disqus feedback share sharing social related recommended recommendations toc pagination pager copyright complementary contentinfo toolbar skip outbrain taboola teaser teasers".split()
+_HOLDS = frozenset("article aside details dialog dir div dl fieldset figure footer form header main menu nav ol search section select span table ul button body td li blockquote p".split()) | _HEADINGS
+#: What a paragraph that is still open doesn't reach beyond.
+_BOUNDS = frozenset("td li div section article main form aside blockquote table".split())
+#: Containers that speak against a block, by tag and by words of their class, id or role.
+_BESIDE_TAGS = frozenset("nav footer aside form menu dialog select button fieldset search".split())
+_BESIDE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer bottombar sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin search form comment comments respond reply replies discussion disqus feedback share sharing social related recommended recommendations toc pagination pager copyright complementary contentinfo toolbar skip outbrain taboola teaser teasers menubar dialog".split()
 )
-_MAIN_WORDS = frozenset("articlebody main article".split())
 
 #: First pass, in characters and shares.
-LINKED, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.34, 70, 200, 0.12, 0.30
+LINKED, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.34, 80, 200, 0.12, 0.30
+#: A heading belongs to a good block that begins within so many characters after it.
+HEADING_REACH = 200
 
 
 @dataclass
 class Block:
     text: str
-    linked: int
-    main: bool
-    aside: bool
+    linked: int = 0
+    beside: bool = False
+    heading: bool = False
     label: str = ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+    """The page's blocks with text, in order; in one pass, whatever the nesting."""
     found: list[Block] = []
     parts: list[str] = []
-    linked = links = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, aside
+    linked = links = beside = articles = headings = 0
+    stack: list[tuple[str, bool]] = []  # tag, and whether it speaks against its blocks
+    open_: dict[str, list[int]] = {}  # places in the stack of each tag, and of _BOUNDS
 
     def close():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, linked, any(m for _, m, _ in stack), any(a for _, _, a in stack)))
+            found.append(Block(text, linked, beside > 0, headings > 0))
         parts, linked = [], 0
 
     def heard(text: str):
@@ -82,15 +89,33 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len("".join(text.split()))
 
+    def entered(name: str, against: bool):
+        nonlocal beside, articles, headings
+        for key in (name, "") if name in _BOUNDS else (name,):
+            open_.setdefault(key, []).append(len(stack))
+        stack.append((name, against))
+        beside += against
+        articles += name in ("article", "main")
+        headings += name in _HEADINGS
+
+    def left(k: int):
+        """Closes what stands in the stack from place k on."""
+        nonlocal beside, articles, headings
+        while len(stack) > k:
+            name, against = stack.pop()
+            for key in (name, "") if name in _BOUNDS else (name,):
+                open_[key].pop()
+            beside -= against
+            articles -= name in ("article", "main")
+            headings -= name in _HEADINGS
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             heard(page[at : m.start()])
         at = m.end()
-        if m["raw"]:
-            continue
         name = (m["name"] or "").lower()
-        if not name:
+        if m["raw"] or not name:
             continue
         if name == "a":
             links = max(0, links + (-1 if m["end"] else 1))
@@ -98,57 +123,39 @@ def blocks(page: str) -> list[Block]:
             close()
         if name not in _HOLDS:
             continue
+        places = open_.get(name)
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name == "span":
-                        _leave(stack, k, close)
-                    del stack[k:]
-                    break
+            if places:
+                if name == "span" and stack[places[-1]][1]:
+                    close()
+                left(places[-1])
         elif not m["attrs"].rstrip().endswith("/"):
             if name == "body":
-                stack.clear()
-            if name == "p":  # a paragraph ends the one before it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("td", "li", "div", "section", "article", "main", "form", "aside", "blockquote", "table"):
-                        break
-            main, aside = _signs(name, m["attrs"], any(x[1] for x in stack))
-            if name == "span" and aside:
+                left(0)
+            elif name == "p" and places and places[-1] > (open_.get("") or [-1])[-1]:
+                left(places[-1])  # a paragraph ends the one before it
+            against = _speaks_against(name, m["attrs"], articles > 0)
+            if name == "span" and against:
                 close()
-            stack.append((name, main, aside))
+            entered(name, against)
     heard(page[at:])
     close()
     return found
 
 
-def _leave(stack, k, close):
-    if stack[k][2]:
-        close()
-
-
-def _signs(name: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether the container is one of main text, or one beside it."""
-    main, aside = name in ("article", "main"), name in _ASIDE_TAGS or name == "header" and not inside_main
+def _speaks_against(name: str, attrs: str, in_article: bool) -> bool:
+    """Whether the container's kind speaks against its blocks. The header of an article doesn't."""
+    if name in _BESIDE_TAGS or name == "header" and not in_article:
+        return True
     if attrs and name not in ("body", "article", "main"):
         for key, *values in _HINT.findall(attrs):
             key, value = key.lower(), "".join(values).lower()
             words = re.split(r"[^a-z0-9]+", value)
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                aside = True
-            elif key == "role":
-                main |= value in ("main", "article")
-                aside |= value in ("navigation", "banner", "complementary", "contentinfo", "search", "form", "alert", "dialog", "menu", "menubar")
-            elif key == "itemprop":
-                main |= value in ("articlebody", "text")
-                aside |= value in ("comment",)
-            elif _ASIDE_WORDS.intersection(words) and not (inside_main and "header" in words and len(_ASIDE_WORDS.intersection(words)) == 1):
-                aside = True
-            elif _MAIN_WORDS.intersection(words):
-                main = True
-    return main, aside and not (main and name not in _ASIDE_TAGS)
+                return True
+            if _BESIDE_WORDS.intersection(words) or "header" in words and not in_article:
+                return True
+    return False
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,47 +165,45 @@ def first_pass(block: Block) -> str:
     """'bad', 'good', or '' where the block alone doesn't tell."""
     size = len(block.text)
     density = block.linked / max(1, len("".join(block.text.split())))
-    if block.aside or density > (0.8 if block.main else LINKED):
+    if density > LINKED or block.beside or size < LONG and block.text.startswith("©"):
         return "bad"
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if block.main:
-        return "good" if size >= SHORT or stops >= MANY_STOPS else ""
     if size < SHORT:
         return "bad" if density > 0 else ""
+    words = _WORD.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= MANY_STOPS or stops >= FEW_STOPS and size >= LONG:
         return "good"
-    return "bad" if stops < FEW_STOPS and size < LONG else ""
+    return ""
 
 
 def labelled(found: list[Block]) -> list[Block]:
-    """Both passes. An undecided block in a container of main text follows its neighbours inside such containers."""
+    """Both passes. What a container was held against says nothing of the blocks around it."""
     for b in found:
         b.label = first_pass(b)
-    decided = [k for k, b in enumerate(found) if b.label]
+    if not any(b.label == "good" for b in found):
+        longest = max((b for b in found if not b.label), key=lambda b: len(b.text), default=None)
+        if longest:
+            longest.label = "good"
+    told = [k for k, b in enumerate(found) if b.label and not b.beside]
     labels = [b.label for b in found]
-    left = -1  # the place in decided of the nearest one before k
+    left, ahead = -1, 0  # the place in told of the nearest one before k; characters up to the next one
+    reach = [0] * (len(found) + 1)
+    for k in range(len(found) - 1, -1, -1):
+        reach[k] = 0 if found[k].label and not found[k].beside else reach[k + 1] + len(found[k].text)
     for k, b in enumerate(found):
         if b.label:
-            left += 1
+            left += not b.beside
             continue
-        before = decided[left] if left >= 0 else None
-        after = decided[left + 1] if left + 1 < len(decided) else None
-        near = [(abs(x - k), found[x]) for x in (before, after) if x is not None]
-        if b.main:  # what stands beside the main text doesn't speak for it
-            near = [x for x in near if x[1].main and not x[1].aside]
-            labels[k] = "good" if not near or any(x.label == "good" for _, x in near) else "bad"
+        before = told[left] if left >= 0 else None
+        after = told[left + 1] if left + 1 < len(told) else None
+        near = [(abs(x - k), found[x].label) for x in (before, after) if x is not None]
+        if b.heading and after is not None and found[after].label == "good" and reach[k + 1] < HEADING_REACH:
+            labels[k] = "good"
         elif not near:
             labels[k] = "good"
-        elif len(near) == 2 and near[0][1].label == near[1][1].label:
-            labels[k] = near[0][1].label
-        elif len(near) == 1:
-            labels[k] = "bad" if near[0][1].label == "bad" else "good"
         else:
             nearest = min(d for d, _ in near)
-            labels[k] = "good" if any(d == nearest and x.label == "good" for d, x in near) else "bad"
-    if any(b.main and labels[k] == "good" for k, b in enumerate(found)):
-        labels = [x if b.main else "bad" for x, b in zip(labels, found, strict=True)]
+            labels[k] = "good" if any(d == nearest and x == "good" for d, x in near) else "bad"
     for b, x in zip(found, labels, strict=True):
         b.label = x
     return found
@@ -212,8 +217,8 @@ def main_text(page: str | None) -> str:
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: id, url, text, n_chars.
 
-    Whole pages are read; null counts as empty and gives an empty text. Repeated rows are repeated;
-    other columns are not looked at.
+    Whole pages of any length and nesting are read, in time that grows with their length; null counts as
+    empty and gives an empty text. Repeated rows are repeated; other columns are not looked at.
     """
 
     def run(batches):

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,6 +190,46 @@ def test_html_of_the_tables(spark):
         assert r.text == " ".join(entities.unescape(plain).split()) and r.n_chars == len(r.text)
 
 
+def without_names(page):
+    """The page without what names its containers."""
+    page = re.sub(r"<(/?)(nav|article|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<div [^>]*>", "<div>", page)
+
+
+def test_html_rules_need_no_names(spark):
+    import html as entities
+
+    shares = []
+    for r in table(spark, "pages").collect():
+        article = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        wanted = Counter(entities.unescape(re.sub("<[^>]*>", " ", article)).split())
+        found = Counter(html_text.main_text(without_names(r.html)).split())
+        common = sum((wanted & found).values())
+        shares.append((common / max(1, sum(found.values())), common / max(1, sum(wanted.values()))))
+    precision, recall = np.mean(shares, axis=0)
+    assert precision >= 0.97 and recall >= 0.96
+
+
+def test_html_first_pass():
+    prose = "It was the best of what we have and that is why you are here with us, as all of them say in the end of the day. "
+    label = lambda text, **more: html_text.first_pass(html_text.Block(text, **more))
+    assert label(prose * 2) == "good" and label(prose * 2, linked=150) == "bad" and label(prose * 2, beside=True) == "bad"
+    assert label("Short one") == "" and label("Home", linked=4) == "bad" and label("word " * 60) == ""
+    found = html_text.labelled([html_text.Block(t, n) for t, n in (("Home", 4), ("Ad of it", 0), (prose, 0), ("Short.", 0), (prose, 0))])
+    assert [b.label for b in found] == ["bad", "good", "good", "good", "good"] and len(prose) > html_text.SHORT
+
+
+@pytest.mark.parametrize("piece", ["<div>a", "<p>a", "<td><p>a", "<span class=ad>a", "<div class=ad><a>", "<b"])
+def test_html_time_grows_with_the_page(piece):
+    def took(n):
+        page, start = piece * n + "</div>" * n, time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(40_000) < 20 * max(took(5_000), 0.02)
+
+
 PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><div id="cookie-notice"><p>We use cookies and that is
 the way of the world and it is for you and your friends so please accept that.</p></div><div class="content"><h1>Title of it</h1><p>This is
 the main text of the page and it is long enough to be found as good by the rules that are used here, as it has many stop words in it and goes
