@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scorelake.llm import fingerprints, html_text, licenses, quality, secrets
 
@@ -52,12 +53,11 @@ def test_tiny_clean_texts_are_kept(spark):
 
 def plain_syncmers(text):
     k, s = fingerprints.K, fingerprints.S
-    found = {}
+    found = []
     for i in range(len(text) - k + 1):
-        part = text[i : i + k]
-        ranks = [order(part[j : j + s]) for j in range(k - s + 1)]
+        ranks = [order(text[j : j + s]) for j in range(i, i + k - s + 1)]
         if min(ranks) in (ranks[0], ranks[-1]):
-            found.setdefault(part, i)
+            found.append(i)
     return found
 
 
@@ -69,32 +69,48 @@ def order(smer):
 
 def test_syncmers_are_those_of_plain_code():
     rng = random.Random(2)
-    text = "".join(rng.choice("abcdé ") for _ in range(120))
-    plain = plain_syncmers(text)
-    hashes, at = fingerprints.anchors(text)
-    assert len(hashes) == min(fingerprints.ANCHORS, len(plain))
-    assert {text[p : p + fingerprints.K] for p in at.tolist()} <= set(plain)
-    assert all(plain[text[p : p + fingerprints.K]] == p for p in at.tolist())
+    for n in (12, 13, 40, 120, 2000):
+        text = "".join(rng.choice("abcdé ") for _ in range(n))
+        hashes, at = fingerprints.anchors(text)
+        assert at.tolist() == (plain_syncmers(text) or at.tolist()[:1])
+        again = fingerprints.read(fingerprints.written((hashes, at)))
+        assert again[0].tolist() == hashes.tolist() and again[1].tolist() == at.tolist()
 
 
-def test_large_texts_select_the_same_anchors():
+def test_every_edit_shows_in_texts_of_any_length():
     rng = random.Random(4)
-    text = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
-    hashes, at = fingerprints.anchors(text)
-    assert len(hashes) == fingerprints.ANCHORS and (hashes[1:] > hashes[:-1]).all()
-    again = fingerprints.read(fingerprints.written((hashes, at)))
-    assert (again[0] == hashes).all() and (again[1] == at).all()
+    text = "".join(rng.choice("abcdefgh ") for _ in range(110_000))
+    own = fingerprints.anchors(text)
+    assert len(own[0]) > 20_000
+    for size in (1, 20, 500):
+        changed = text[:50_000] + "x" * size + text[50_000 + size :]
+        assert 0.9 < fingerprints.likeness(own, fingerprints.anchors(changed)) < 1
+    # a paragraph put in the middle, and one moved: what stays counts on whatever shift
+    put_in = text[:50_000] + "".join(rng.choice("abcdefgh ") for _ in range(10_000)) + text[50_000:]
+    assert 0.88 < fingerprints.likeness(own, fingerprints.anchors(put_in)) < 0.93
+    assert fingerprints.likeness(own, fingerprints.anchors(text[60_000:] + text[:60_000])) > 0.99
 
 
 def test_likeness():
     rng = random.Random(3)
     a, b = ("".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(2))
     own, edited, other = (fingerprints.anchors(t) for t in (a, fingerprints.edited(a, b), b))
-    assert fingerprints.likeness(own, own) == 1 and fingerprints.likeness(own, other) < 0.05 and 0.3 < fingerprints.likeness(own, edited) < 0.7
+    assert fingerprints.likeness(own, own) == 1 and fingerprints.likeness(own, other) < 0.05 and 0.4 < fingerprints.likeness(own, edited) < 0.6
     nothing = fingerprints.anchors("")
     assert fingerprints.likeness(nothing, nothing) == 1 and fingerprints.likeness(nothing, own) == 0
 
 
+def test_one_id_for_many_rows(spark):
+    """A repeated id, or null, is cut into several tasks."""
+    rows = [(7, f"text {k}") for k in range(900)] + [(None, f"none {k}") for k in range(700)] + [(k, f"own {k}") for k in range(20, 320)] + [(7, "again")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fingerprints.with_following(df, rows_per_task=50).withColumn("task", F.spark_partition_id())
+    h = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    plain = sorted(h, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    following = Counter((r.doc_id, r.text, plain[(k + 1) % len(plain)].text) for k, r in enumerate(plain))
+    assert Counter((r.id, r.text, r.following) for r in out.collect()) == following
+
+
 def test_edits_follow_the_order_of_ids(spark):
     docs = sorted(table(spark, "documents").collect(), key=lambda r: -r.doc_id)
     following = {r.doc_id: docs[(k + 1) % len(docs)].text for k, r in enumerate(docs)}
