@@ -1,11 +1,12 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-1. A slim table (id, 64-bit hash, SHA-256) is written once to the shared folder.
-2. The directory: counts of distinct hashes below each prefix; a bucket that holds more than its
-   capacity is split by one more bit, and the directory doubles when a bucket gets deeper than it.
-   Equal texts share one entry, so a hot text never makes a bucket overfull.
-3. Each scan task folds copies together (bounded memory), one exchange deals the rest to the owners
-   of buckets, and owners walk their buckets in hash order: entries with equal hashes form a chain,
+1. A slim table (id, 64-bit hash, SHA-256, bytes) is written once to the shared folder.
+2. The directory: bytes of distinct texts below each prefix of the hash. As long as a slot holds more than a
+   bucket's capacity the directory doubles, which splits overfull buckets; what needs fewer bits shares a
+   bucket. Equal texts share one entry, so a hot text never makes a bucket overfull. Capacity is given in
+   bytes, so buckets grow in number with the corpus, up to 2**DEEPEST slots; beyond, they grow in size.
+3. Each scan task folds copies together (bounded memory), one exchange deals the rest to the owners, each of
+   a range of buckets in key order, and owners walk them in hash order: entries with equal hashes form a chain,
    in which bytes are compared. The index entries go to shared files.
 4. Documents look their entry up. Entries of very large groups, at most `HOT_SHARE` of them, are
    broadcast; the others are joined by key.
@@ -15,86 +16,77 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, prefix, text_or_empty
+from .shared import bits_for, materialize, prefix, text_or_empty
 
-#: Bits by which the directory's cells are counted at a time, and its greatest depth.
-STEP, DEEPEST = 12, 36
+#: The directory's greatest depth: a slot takes four bytes in each task.
+DEEPEST = 20
+#: Bytes of distinct texts in a bucket, and of those that an owner walks, beyond MOST_OWNERS owners.
+CAPACITY, OWNED, MOST_OWNERS = 16 << 20, 256 << 20, 256
 #: Entries of groups with more than rows / HOT_SHARE rows are broadcast: fewer than HOT_SHARE entries.
 HOT_SHARE = 1000
 #: Bytes of distinct texts that a scan task holds before it passes them on.
 FOLD_BYTES = 32 << 20
 
 
-def directory(hashes: DataFrame, capacity: int) -> tuple[list[int], int]:
-    """(bucket of each slot, global depth) of an extendible-hash directory over the column h.
+def directory(hashes: DataFrame, capacity: int, deepest: int = DEEPEST) -> np.ndarray:
+    """The bucket of each slot, of 2**depth, of an extendible-hash directory over the column h. Buckets are numbered in key order.
 
-    hashes: distinct hashes. Buckets are numbered in key order. Only cells that are still
-    overfull are counted deeper, so the driver sees at most 2**STEP counts for each of them.
+    hashes: distinct h, and the bytes that each stands for. The driver sees a sum for each slot.
     """
-
-    def counted(depth: int, within: list[int] | None) -> dict[int, int]:
-        rows = hashes if within is None else hashes.filter(prefix(F.col("h"), depth - STEP).isin(within))
-        return {r[0]: r[1] for r in rows.groupBy(prefix(F.col("h"), depth).alias("p")).count().collect()}
-
-    leaves: list[tuple[int, int]] = []  # (prefix, local depth)
-
-    def split(p: int, depth: int, cells: dict[int, int], base: int) -> None:
-        """base: the depth of cells."""
-        span = base - depth
-        held = sum(n for c, n in cells.items() if c >> span == p)
-        if held <= capacity or depth >= DEEPEST:
-            leaves.append((p, depth))
-        elif span == 0:
-            deeper.append(p)
-        else:
-            low = {c: n for c, n in cells.items() if c >> (span - 1) == 2 * p}
-            high = {c: n for c, n in cells.items() if c >> (span - 1) == 2 * p + 1}
-            split(2 * p, depth + 1, low, base)
-            split(2 * p + 1, depth + 1, high, base)
-
-    depth, todo = 0, [0]
-    while todo:
-        deeper: list[int] = []
-        cells = counted(depth + STEP, todo if depth else None)
-        for p in todo:
-            split(p, depth, {c: n for c, n in cells.items() if c >> STEP == p}, depth + STEP)
-        depth, todo = depth + STEP, deeper
-    leaves.sort(key=lambda x: x[0] << (DEEPEST - x[1]))
-    deepest = max(d for _, d in leaves)
-    slots: list[int] = []
-    for bucket, (_, d) in enumerate(leaves):
-        slots += [bucket] * (1 << (deepest - d))
-    return slots, deepest
-
-
-def _fold(batches):
-    """Copies within a scan task become one row: (h, text, largest id, rows, rows with that id)."""
-    seen: dict[tuple[int, str], list] = {}
-    held = 0
-
-    def rows():
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64()), pa.array([seen[k][2] for k in keys], pa.int64())],
-            names=["h", "text", "keep_id", "group_size", "ties"],
-        )
-
-    for batch in batches:
-        for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if (h, text) in seen:
-                _add(seen[h, text], i, 1, 1)
-            else:
-                seen[h, text] = [i, 1, 1]
-                held += 200 + 2 * len(text)
-            if held > FOLD_BYTES:
-                yield rows()
-                seen, held = {}, 0
-    if seen:
-        yield rows()
+    total = hashes.agg(F.sum("bytes")).first()[0] or 0
+    depth = min(deepest, bits_for(total, capacity))
+    while True:
+        sums = hashes.groupBy(prefix(F.col("h"), depth).alias("slot")).agg(F.sum("bytes").alias("n"), F.max("bytes").alias("most")).toArrow()
+        slot, n, most = (sums.column(k).to_numpy() for k in range(3))
+        # next to a text of more than half a bucket little is gained by a split
+        if depth == deepest or not ((n > capacity) & (n - most > capacity // 2)).any():
+            break
+        depth += 1
+    held = np.zeros(1 << depth, np.int64)
+    held[slot] = n
+    local = np.full(1 << depth, depth)
+    for d in range(depth - 1, -1, -1):
+        fits = held.reshape(1 << d, -1).sum(axis=1) <= capacity
+        local[np.repeat(fits, 1 << (depth - d))] = d
+    own = np.arange(1 << depth)
+    first = own >> (depth - local) << (depth - local)
+    return (np.cumsum(first == own) - 1).astype(np.int32)
+
+
+def _fold(bucket_of: np.ndarray, owners: int):
+    """Copies within a scan task become one row: (owner, bucket, h, text, largest id, rows, rows with that id)."""
+    depth, buckets = int(len(bucket_of)).bit_length() - 1, int(bucket_of[-1]) + 1
+
+    def run(batches):
+        seen: dict[tuple[int, str], list] = {}
+        held = 0
+
+        def rows():
+            h = np.array([k[0] for k in seen], np.int64)
+            bucket = bucket_of[(h.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)]
+            columns = [pa.array(bucket.astype(np.int64) * owners // buckets, pa.int32()), pa.array(bucket), pa.array(h), pa.array([k[1] for k in seen], pa.string())]
+            columns += [pa.array([x[k] for x in seen.values()], pa.int64()) for k in range(3)]
+            return pa.RecordBatch.from_arrays(columns, names=["owner", "bucket", "h", "text", "keep_id", "group_size", "ties"])
+
+        for batch in batches:
+            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (h, text) in seen:
+                    _add(seen[h, text], i, 1, 1)
+                else:
+                    seen[h, text] = [i, 1, 1]
+                    held += 200 + 2 * len(text)
+                if held > FOLD_BYTES:
+                    yield rows()
+                    seen, held = {}, 0
+        if seen:
+            yield rows()
+
+    return run
 
 
 def _add(entry: list, i: int | None, n: int, ties: int) -> None:
@@ -142,35 +134,35 @@ def _entries(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY, strict=True)], schema=_ENTRY)
 
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512, capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slim documents: id, h, text_sha256; index entries, one for each distinct text), both on shared files.
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """(slim documents: id, h, text_sha256, bytes; index entries, one for each distinct text), both on shared files.
 
-    buckets: about so many, of 256 texts at least; capacity, if given, is the number of distinct texts a bucket may hold.
+    capacity: bytes of distinct texts that a bucket may hold.
     """
     text = text_or_empty(df, text_col)
-    slim = materialize(df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256")), "dedup-slim")
-    distinct = materialize(slim.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "dedup-hashes")
-    slots, depth = directory(distinct.select("h"), capacity or max(256, distinct.count() // buckets))
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
-    if depth > 16:
-        raise ValueError("the directory holds at most 2**16 slots; give a larger capacity")
-    folded = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(_fold, "h long, text string, keep_id long, group_size long, ties long")
-    owned = folded.withColumn("slot", prefix(F.col("h"), depth)).join(F.broadcast(table), "slot").select("bucket", "h", "text", "keep_id", "group_size", "ties")
-    owned = owned.repartition("bucket").sortWithinPartitions("bucket", "h")
-    entries = owned.mapInArrow(_own, "bucket int, h long, link int, text_sha256 string, n_bytes long, keep_id long, group_size long, ties long")
+    size = F.octet_length(text).cast("long").alias("bytes")
+    slim = materialize(df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"), size), "dedup-slim")
+    hashes = materialize(slim.groupBy("h").agg(F.max("bytes").alias("bytes")), "dedup-hashes")
+    bucket_of = directory(hashes, capacity)
+    buckets = int(bucket_of[-1]) + 1
+    owned = hashes.agg(F.sum("bytes")).first()[0] or 0
+    owners = min(buckets, max(MOST_OWNERS, owned // OWNED))
+    folded = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    folded = folded.mapInArrow(_fold(bucket_of, owners), "owner int, bucket int, h long, text string, keep_id long, group_size long, ties long")
+    folded = folded.repartitionById(owners, "owner").drop("owner").sortWithinPartitions("bucket", "h")
+    entries = folded.mapInArrow(_own, "bucket int, h long, link int, text_sha256 string, n_bytes long, keep_id long, group_size long, ties long")
     return slim, materialize(entries, "dedup-index")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512, capacity: int | None = None) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each document: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they have the same bytes; null counts as empty. The row with the
     largest id stays; a null id is smaller than any other, and of rows with the same text and
     the same largest id one stays. Other columns of df are not looked at. An empty table gives none.
     """
-    slim, index = build_index(df, id_col, text_col, buckets, capacity)
-    index = index.select("h", "text_sha256", "keep_id", "group_size", "ties")
+    slim, index = build_index(df, id_col, text_col, capacity)
+    slim, index = slim.drop("bytes"), index.select("h", "text_sha256", "keep_id", "group_size", "ties")
     least = max(2, slim.count() // HOT_SHARE + 1)
     hot = index.filter(F.col("group_size") >= least)
     columns = ["id", "h", "text_sha256", "keep_id", "group_size", "ties"]
@@ -193,12 +185,16 @@ def _one_of_ties(tied: DataFrame) -> DataFrame:
 
 
 def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns."""
+    """The rows of df that stay, with all their columns, whatever their names.
+
+    Which of rows with the same text and the same largest id stays is told by the hash of all their columns.
+    """
     _, index = build_index(df, id_col, text_col)
     text = text_or_empty(df, text_col)
-    kept = index.select(F.col("h").alias("_h"), F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_id"), F.col("ties").alias("_ties"))
-    rows = df.withColumns({"_h": F.xxhash64(text), "_sha": F.sha2(text, 256)})
-    rows = rows.join(kept, (rows["_h"] == kept["_h"]) & (rows["_sha"] == kept["_sha"]) & rows[id_col].cast("long").eqNullSafe(kept["_id"])).select(*(rows[c] for c in rows.columns), kept["_ties"])
-    alone = rows.filter("_ties = 1")
-    tied = rows.filter("_ties > 1").withColumn("_rank", F.row_number().over(Window.partitionBy("_h", "_sha").orderBy(F.xxhash64(*df.columns)))).filter("_rank = 1")
-    return alone.select(df.columns).unionByName(tied.select(df.columns))
+    kept = index.select("h", F.col("text_sha256").alias("sha"), F.col("keep_id").alias("id"), "ties").withColumn("none", F.col("id").isNull()).fillna(0, ["id"])
+    id_ = df[id_col].cast("long")
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("sha"), F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("none"))
+    rows = rows.join(kept, ["h", "sha", "id", "none"])
+    alone = rows.filter("ties = 1").select("row")
+    tied = rows.filter("ties > 1").withColumn("rank", F.row_number().over(Window.partitionBy("h", "sha").orderBy(F.xxhash64("row")))).filter("rank = 1").select("row")
+    return alone.unionByName(tied).select("row.*")

@@ -13,6 +13,12 @@ from scorelake.llm import exact_dedup, mixing, packing, sharding
 from scorelake.llm.shared import in_bitmap, ranked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, bucket int, id string, rank int"
+#: Columns named like those that the operators use or return.
+CLASHING = "_h _sha _id _ties _hash _of _rank _text row ties none part place block slot file line batch batch_slot bucket_length n_tokens mix_slot mix_phase mix_block mix_position".split()
+
+
+def clashing(df):
+    return df.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in CLASHING})
 
 
 def awkward(spark, n=300, seed=0):
@@ -26,7 +32,7 @@ def awkward(spark, n=300, seed=0):
     return spark.createDataFrame(rows, SCHEMA), rows
 
 
-@pytest.mark.parametrize("capacity", [None, 4])
+@pytest.mark.parametrize("capacity", [exact_dedup.CAPACITY, 4, 30_000])
 def test_exact_dedup(spark, capacity):
     df, rows = awkward(spark)
     groups = defaultdict(list)
@@ -38,9 +44,11 @@ def test_exact_dedup(spark, capacity):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == want
     kept = [r for r in out if r.kept]
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
-    rows_kept = exact_dedup.kept_documents(df)
-    assert rows_kept.columns == df.columns
-    assert Counter((r.doc_id, r.text or "") for r in rows_kept.collect()) == Counter((largest[t], t) for t in groups)
+    rows_kept = exact_dedup.kept_documents(clashing(df))
+    assert rows_kept.columns == df.columns + CLASHING
+    found = rows_kept.collect()
+    assert Counter((r.doc_id, r.text or "") for r in found) == Counter((largest[t], t) for t in groups)
+    assert all(r[c] == f"{c} {-1 if r.doc_id is None else r.doc_id}" for r in found for c in CLASHING)
 
 
 def test_exact_dedup_of_nothing(spark):
@@ -59,11 +67,22 @@ def test_chains_of_equal_hashes():
 
 
 def test_directory_covers_every_slot(spark):
-    df = spark.range(2000).select(F.xxhash64("id").alias("h"))
-    slots, depth = exact_dedup.directory(df, 40)
-    assert len(slots) == 1 << depth and sorted(set(slots)) == list(range(max(slots) + 1)) and slots == sorted(slots)
-    counts = Counter(slots[(r.h % (1 << 64)) >> (64 - depth)] for r in df.collect())
-    assert max(counts.values()) <= 40
+    df = spark.range(2000).select(F.xxhash64("id").alias("h"), F.when(F.col("id") == 7, 5000).otherwise(F.col("id") % 10).cast("long").alias("bytes")).persist()
+    for capacity, most in ((200, 20), (200, 3), (10**6, 20)):
+        slots = exact_dedup.directory(df, capacity, most)
+        depth = len(slots).bit_length() - 1
+        assert len(slots) == 1 << depth <= 1 << most and sorted(set(slots)) == list(range(max(slots) + 1)) and slots.tolist() == sorted(slots)
+        held = defaultdict(list)
+        for r in df.collect():
+            held[slots[(r.h % (1 << 64)) >> (64 - depth)]].append(r.bytes)
+        if most == 20:  # only the text that fills a bucket by itself makes one overfull
+            assert all(sum(x) - (max(x) if max(x) > capacity else 0) <= capacity for x in held.values())
+        for bucket in set(slots):  # a bucket is a whole subtree
+            own = np.flatnonzero(slots == bucket)
+            assert len(own) & (len(own) - 1) == 0 and own[0] % len(own) == 0 and own[-1] - own[0] + 1 == len(own)
+    assert len(slots) == 1
+    more = exact_dedup.directory(df.filter("id <> 7"), 100)
+    assert max(more) + 1 > max(exact_dedup.directory(df.filter("id <> 7"), 1000)) + 1  # buckets grow in number with the bytes
 
 
 @pytest.mark.parametrize("shards", [1, 7, 40])
