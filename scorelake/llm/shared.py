@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.sources.tables import materialize, shared_folder
 
-__all__ = ["bits_for", "flipped", "in_bitmap", "join_entries", "materialize", "prefix", "ranked", "shared_folder", "text_or_empty"]
+__all__ = ["bits_for", "free_names", "flipped", "in_bitmap", "join_entries", "materialize", "prefix", "ranked", "shared_folder", "text_or_empty"]
 
 
 def text_or_empty(df: DataFrame, text_col: str) -> Column:
@@ -15,6 +15,19 @@ def text_or_empty(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def free_names(columns: list[str], taken: list[str]) -> list[str]:
+    """The names of columns; those that are taken, whatever their case, get as many "_" as make them free."""
+    used = {c.lower() for c in taken} | {c.lower() for c in columns if c.lower() not in {t.lower() for t in taken}}
+    names = []
+    for c in columns:
+        if c.lower() in {t.lower() for t in taken}:
+            while c.lower() in used:
+                c += "_"
+            used.add(c.lower())
+        names.append(c)
+    return names
+
+
 def flipped(column: Column) -> Column:
     """Signed order of the result is the unsigned order of the 64-bit column."""
     return column.bitwiseXOR(F.lit(-(2**63)))

@@ -219,17 +219,25 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([], 4) == []
 
 
-def test_bins(spark):
-    out = spark.range(1, 200_000, 37).select("id", packing.bin_top(F.col("id")).alias("top")).collect()
-    assert all(r.top >= r.id and r.top - r.id <= max(0, r.id / 32) for r in out)
-    assert len({r.top for r in out}) < 2048 + 64 * 8
+def test_boundaries_are_optimal_for_any_length():
+    """Long lengths, many of them, and large counts: against the plain recurrence."""
+    rng = random.Random(2)
+    for top, distinct in ((5_000, 60), (10**7, 150), (40, 40)):
+        histogram = [(t, rng.choice([1, 2, 10**9 + rng.randrange(9)])) for t in rng.sample(range(1, top + 1), distinct)]
+        tops, counts = zip(*sorted(histogram), strict=True)
+        best = [0] + [None] * len(tops)
+        for buckets in range(1, 6):
+            best = [0] + [min(best[s] + tops[e - 1] * sum(counts[s:e]) for s in range(e) if best[s] is not None) for e in range(1, len(tops) + 1)]
+            edges = packing.boundaries(histogram, buckets)
+            assert len(edges) <= buckets
+            assert sum(n * min(e for e in edges if e >= t) for t, n in histogram) == best[-1]
 
 
 def test_packing(spark, tmp_path):
     df, rows = awkward(spark, 300, 7)
     df.coalesce(2).write.parquet(str(tmp_path / "docs"))
     for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
-        out = packing.packed(docs, budget=100, buckets=4, keep=["doc_id", "text"], rows_per_task=25).collect()
+        out = packing.packed(docs, budget=100, buckets=4, keep=["doc_id", "text"], rows_per_task=25, by_arrival=True).collect()
         assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows)
         batches = Counter()
         for r in out:
@@ -240,5 +248,18 @@ def test_packing(spark, tmp_path):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    df, rows = awkward(spark, 60, 8)
+    docs = clashing(df)
+    out = packing.packed(docs, keep=docs.columns)
+    assert out.columns[: len(docs.columns)] == [f"{c}_" if c in packing.ADDED else c for c in docs.columns]
+    assert all(r.batch_ == f"batch {-1 if r.doc_id is None else r.doc_id}" and r.file.startswith("file ") for r in out.collect()) and out.count() == len(rows)
+
+
+def test_a_long_document_is_not_padded_beyond_the_longest(spark):
+    df = spark.createDataFrame([(1, "w " * 2049), (2, "w " * 5001), (3, "w")], "doc_id long, text string")
+    assert sorted((r.n_tokens, r.bucket_length) for r in packing.packed(df).collect()) == [(1, 1), (2049, 2049), (5001, 5001)]
+
+
 def test_numbers_are_plain():
     assert np.array(packing.boundaries([(3, 2), (9, 1)], 2)).tolist() == [3, 9]
