@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their bucket, batch and slot; batches take them in the order of their files."""
-    return packed(docs, keep=docs.columns)
+    return packed(docs, keep=docs.columns, by_arrival=True)
 
 
 STAGES = [
