@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and joins of tables with hot keys."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_entries(rows: DataFrame, entries: DataFrame, keys: list[str], size: str, n_rows: int, share: int = 1000) -> DataFrame:
+    """Inner join of rows with entries, which have one row for each key and the number of rows with it in `size`.
+
+    Keys of more than n_rows / share rows are fewer than share; their entries are broadcast, so a hot
+    key's rows stay where they are. The others are joined by key. Keys must not be null.
+    """
+    least = max(2, n_rows // share + 1)
+    hot = F.broadcast(entries.filter(F.col(size) >= least).withColumn("_hot", F.lit(True)))
+    seen = rows.join(hot, keys, "left")
+    columns = [*rows.columns, *(c for c in entries.columns if c not in keys)]
+    rest = seen.filter("_hot is null").select(rows.columns).join(entries.filter(F.col(size) < least), keys)
+    return seen.filter("_hot").select(columns).unionByName(rest.select(columns))
