@@ -9,12 +9,13 @@ empty segments and on segments whose key very many sets share. Only sets whose s
 reach that far compare inside such hot keys: first all with one pivot, and then, where that leaves
 more than one component, in blocks of bounded size.
 
-Candidates pass a parity sketch, which never rejects a link, and are then verified on their texts.
-Sets of equal content are one class from the start, so copies are never paired.
+Candidates pass a parity sketch, which never rejects a link, and are then verified on the words of their texts.
+Texts of the same words are one class from the start, so copies are never paired; classes are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import OrderedDict
 from dataclasses import dataclass
@@ -22,14 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.operators.grouping import components
 
-from .shared import in_bitmap, join_entries, materialize, ranked, text_or_empty
-from .words import mixed, shingle_hashes, word_hashes
+from .shared import in_bitmap, join_entries, materialize, ranked, salted, text_or_empty
+from .words import exact_sets, hashes_of, mixed, shingle_hashes, words_of
 
 #: Sets with one key that are paired directly; beyond, the key is hot.
 SMALL = 32
@@ -37,6 +38,8 @@ SMALL = 32
 BLOCK = 256
 #: Growth of a band's sizes, and the share of H that is spare.
 GROWTH, SPARE = 1.4, 0.1
+#: Classes with one id at most, among n texts about n**2 / 2**65 of them; and texts that are compared with one at a time.
+MOST_CLASHING, TOGETHER = 1 << 20, 64
 #: Classes that a task remembers, so as not to send their keys again.
 REMEMBERED = 200_000
 
@@ -50,6 +53,8 @@ class Rule:
     k: int
     num: int
     den: int
+    #: Bits of a class's id; texts of different words with one id get others.
+    class_bits: int = 64
 
     def most_apart(self, a, b):
         """The largest difference of two linked sets of sizes a and b."""
@@ -122,14 +127,15 @@ class Bands:
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
-    """Distinct shingles, in rising order."""
-    return np.unique(shingle_hashes(word_hashes(text), k))
+    """Distinct shingles by their hashes, in rising order."""
+    return np.unique(shingle_hashes(hashes_of(words_of(text)), k))
 
 
-def class_of(items: np.ndarray) -> int:
-    """The id of a set: a hash of all its members, signed 64-bit."""
-    total = mixed(items).sum(dtype=np.uint64, keepdims=True)
-    return int(mixed(total + np.array([len(items)], np.uint64) * _GOLDEN).view(np.int64)[0])
+def class_ids(words: list[bytes], rule: Rule) -> tuple[int, int]:
+    """(id of a text's class, the id that it gets if other words have the first one), signed 64-bit: a hash of all its words in order."""
+    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    first, second = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:]))
+    return first >> (64 - rule.class_bits), second
 
 
 def keys_of(items: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray, int]:
@@ -189,29 +195,34 @@ def _classes(rule: Rule):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column(2).to_pylist():
-                items = shingle_set(text, rule.k)
-                for column, value in zip(out, (len(items), class_of(items), sketch_of(items) if len(items) else b""), strict=False):
+                words = words_of(text)
+                items = np.unique(shingle_hashes(hashes_of(words), rule.k))
+                for column, value in zip(out, (len(items), *class_ids(words, rule), sketch_of(items) if len(items) else b""), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["id", "h", "n", "d", "sketch"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, types)], names=["id", "h", "n", "d", "other", "sketch"])
 
     return run
 
 
-def _keys(rule: Rule):
+def _keys(rule: Rule, clashing: frozenset[int]):
     def run(batches):
         bands, seen = Bands(rule), OrderedDict()
         for batch in batches:
             keys, ids, infos, held = [], [], [], 0
             for text in batch.column(0).to_pylist():
-                items = shingle_set(text, rule.k)
-                if not len(items):
+                words = words_of(text)
+                if not words:
                     continue
-                d = class_of(items)
+                d, other = class_ids(words, rule)
+                if d in clashing:
+                    d = other
                 if d in seen:
                     continue
                 seen[d] = None
                 if len(seen) > REMEMBERED:
                     seen.popitem(last=False)
+                items = np.unique(shingle_hashes(hashes_of(words), rule.k))
                 for band in bands.of(len(items)):
                     own, weight, spare = keys_of(items, band)
                     keys.append(own.view(np.int64))
@@ -300,9 +311,9 @@ def _walk(rule: Rule):
     return run
 
 
-def candidates(df: DataFrame, rule: Rule, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def candidates(df: DataFrame, rule: Rule, text_col: str = "text", clashing: frozenset[int] = frozenset()) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes a < b with a common key that isn't hot; rows of hot keys: key, d, info, only of classes without the capacity to ignore them)."""
-    keys = df.select(text_or_empty(df, text_col).alias("text")).mapInArrow(_keys(rule), "key long, d long, info long")
+    keys = df.select(text_or_empty(df, text_col).alias("text")).mapInArrow(_keys(rule, clashing), "key long, d long, info long")
     walked = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_walk(rule), "kind long, a long, b long, info long")
     walked = materialize(walked, "ngram-candidates")
     pairs = walked.filter("kind = 0").select("a", "b").distinct()
@@ -310,54 +321,67 @@ def candidates(df: DataFrame, rule: Rule, text_col: str = "text") -> tuple[DataF
     hot = hot.withColumn("band", F.shiftright("info", 24).bitwiseAND(F.lit(255)))
     weight, spare = F.shiftright("info", 1).bitwiseAND(F.lit(7)), F.shiftright("info", 4).bitwiseAND(F.lit(0xFFFFF))
     bound = hot.groupBy("d", "band").agg(F.sum(weight).alias("w"), F.min(spare).alias("s")).filter("w > s").select("d", "band")
-    return pairs, hot.join(bound, ["d", "band"]).select("key", "d", "info")
+    return pairs, materialize(hot.join(bound, ["d", "band"]).select("key", "d", "info"), "ngram-hot")
 
 
 def stars(hot: DataFrame) -> DataFrame:
-    """(u, v, fits): each class of a hot key with the key's pivot, its smallest class; keys without a class of the band are left out."""
-    pivot = hot.groupBy("key").agg(F.min(F.struct("d", "info")).alias("p"), F.max(F.col("info").bitwiseAND(F.lit(1))).alias("native")).filter("native = 1")
-    return hot.join(pivot.select("key", F.col("p.d").alias("u")), "key").filter("u <> d").select("u", F.col("d").alias("v")).distinct()
+    """(u, v): each class of a hot key with the key's pivot, its smallest class; keys without a class of the band are left out."""
+    pivot = hot.groupBy("key").agg(F.min("d").alias("u"), F.max(F.col("info").bitwiseAND(F.lit(1))).alias("native"), F.count(F.lit(1)).alias("rows")).filter("native = 1")
+    return join_entries(hot.select("key", "d"), pivot.select("key", "u", "rows"), ["key"], "rows", hot.count()).filter("u <> d").select("u", F.col("d").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, rule: Rule, text_col: str = "text") -> DataFrame:
-    """The links (u, v) among pairs (a, b) of classes."""
+    """The links (u, v) among pairs (a, b) of classes. A class in very many pairs is compared in several tasks."""
 
     @F.pandas_udf(T.BooleanType())
     def near(xs: pd.Series, ys: pd.Series, ns: pd.Series, ms: pd.Series) -> pd.Series:
         return pd.Series([sketch_distance(x, y) <= rule.most_apart(n, m) for x, y, n, m in zip(xs, ys, ns, ms, strict=True)], dtype=bool)
 
+    pairs = materialize(pairs, "ngram-pairs")
     of = lambda s: classes.select(F.col("d").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"), F.col("h").alias(f"h_{s}"))
     fit = rule.den * F.least("n_a", "n_b") >= rule.num * F.greatest("n_a", "n_b")
-    left = pairs.join(of("a"), "a").join(of("b"), "b").filter(fit).filter(near("s_a", "s_b", "n_a", "n_b"))
+    n_rows = pairs.count()
+    left = salted(salted(pairs, of("a"), "a", n_rows), of("b"), "b", n_rows).filter(fit).filter(near("s_a", "s_b", "n_a", "n_b"))
     left = materialize(left.select("a", "b", "h_a", "h_b"), "ngram-near")
     texts = texts_of(left.select(F.col("h_a").alias("h")).unionByName(left.select(F.col("h_b").alias("h"))), df, text_col)
     one = texts.select(F.col("h").alias("h_a"), F.col("text").alias("t_a"))
     two = texts.select(F.col("h").alias("h_b"), F.col("text").alias("t_b"))
-    both = left.join(two, "h_b").join(one, "h_a").select("a", "b", "t_a", "t_b")
+    n_rows = left.count()
+    both = salted(salted(left, two, "h_b", n_rows), one, "h_a", n_rows).select("a", "b", "t_a", "t_b")
+
+    def compared(rows):
+        sets = exact_sets([rows[0][2], *(r[3] for r in rows)], rule.k)
+        own = sets[0]
+        for (a, b, *_), other in zip(rows, sets[1:], strict=True):
+            if rule.linked(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)):
+                yield a, b
 
     def run(batches):
-        last, items = None, None
         for batch in batches:
-            us, vs = [], []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != last:
-                    last, items = a, shingle_set(x, rule.k)
-                other = shingle_set(y, rule.k)
-                common = len(np.intersect1d(items, other, assume_unique=True))
-                if rule.linked(common, len(items), len(other)):
-                    us.append(a)
-                    vs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            found, rows = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (row[0] != rows[0][0] or len(rows) == TOGETHER):
+                    found += compared(rows)
+                    rows = []
+                rows.append(row)
+            if rows:
+                found += compared(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["u", "v"])
 
     return both.mapInArrow(run, "u long, v long")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256, in hexadecimal."""
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
 def texts_of(wanted: DataFrame, df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, text): one row for each text whose hash is wanted."""
+    """(h, text): one row for each text whose key is wanted."""
     wanted = wanted.select("h").distinct()
     text = text_or_empty(df, text_col)
-    rows = df.select(F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = rows.filter(in_bitmap(wanted, "h", F.col("h"))).join(wanted, "h", "left_semi")
+    rows = df.select(text_key(text).alias("h"), text.alias("text"))
+    rows = rows.filter(in_bitmap(wanted.select(F.xxhash64("h").alias("x")), "x", F.xxhash64("h"))).join(wanted, "h", "left_semi")
     return materialize(rows.groupBy("h").agg(F.first("text").alias("text")), "ngram-texts")
 
 
@@ -376,7 +400,7 @@ def compared_in_blocks(members: DataFrame, df: DataFrame, rule: Rule, text_col:
     dealt = dealt.join(texts_of(members.select("h"), df, text_col), "h")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = _forest([shingle_set(t, rule.k) for t in pdf["text"]], pdf["root"].to_numpy(), pdf["block"].to_numpy(), rule)
+        edges = _forest(exact_sets(pdf["text"].tolist(), rule.k), pdf["root"].to_numpy(), pdf["block"].to_numpy(), rule)
         d = pdf["d"].to_numpy()
         return pd.DataFrame({"u": [d[x] for x, _ in edges], "v": [d[y] for _, y in edges]}, dtype="int64")
 
@@ -430,16 +454,25 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Documents link when den * intersection >= num * union; component_id is the smallest id in reach. Without
     words, null texts included, the set is empty and links with nothing. Rows with a null id are linked like
     others, but lend no id: a component of such rows only has a null one. Repeated rows are one class
-    (class_id), linked; component_class tells components apart where ids repeat. Sets are compared by 64-bit hashes of their shingles. Other columns are not looked at.
+    (class_id), linked; component_class tells components apart where ids repeat. Links are decided on words, not on
+    their hashes. Other columns are not looked at.
     """
-    rule = Rule(k, num, den)
+    return components_of(df, Rule(k, num, den), id_col, text_col)
+
+
+def components_of(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(df, text_col)
-    slim = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    slim = materialize(slim.mapInArrow(_classes(rule), "id long, h long, n long, d long, sketch binary"), "ngram-classes")
+    slim = df.select(df[id_col].cast("long").alias("id"), text_key(text).alias("h"), text.alias("text"))
+    slim = materialize(slim.mapInArrow(_classes(rule), "id long, h string, n long, d long, other long, sketch binary"), "ngram-classes")
+    clashing = frozenset(r[0] for r in slim.groupBy("d").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").select("d").limit(MOST_CLASHING).collect())
+    if clashing:
+        slim = slim.withColumn("d", F.when(F.col("d").isin(list(clashing)), F.col("other")).otherwise(F.col("d")))
     sets = slim.filter("n > 0")
-    classes = sets.groupBy("d").agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"))
+    classes = sets.groupBy("d").agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"), F.min("other").alias("one"), F.max("other").alias("two"))
     classes = materialize(classes, "ngram-distinct")
-    pairs, hot = candidates(df, rule, text_col)
+    if clashing and classes.filter("one <> two").take(1):
+        raise ValueError("classes of texts can't be told apart by 128 bits")
+    pairs, hot = candidates(df, rule, text_col, clashing)
     star = materialize(stars(hot), "ngram-stars")
     smaller = star.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     links = materialize(verified(pairs.unionByName(smaller).distinct(), classes, df, rule, text_col), "ngram-links")
@@ -461,19 +494,20 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def one_of_each_component(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, of which one of each component of linked documents stays: the one with the smallest id.
+    """The rows of df, with all their columns, whatever their names, of which one of each component of linked documents stays: the one with the smallest id.
 
-    Of several rows with that id, the one with the smallest text hash stays. Documents without words are linked with
-    nothing and stay, as do components in which all ids are null.
+    Of several rows with that id, the one with the smallest text hash stays, and of those that are equal one. Documents
+    without words are linked with nothing and stay, as do components in which all ids are null.
     """
-    found = materialize(jaccard_components(df, k, num, den, id_col, text_col), "ngram-components")
-    linked = found.filter("n_shingles > 0 and component_id is not null").select("component_class", "component_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_text"))
-    first = linked.filter("_id = component_id").groupBy("component_class", "component_id").agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    linked = linked.join(first.drop("component_id"), "component_class")
-    gone = linked.filter("_id is null or _id <> component_id or _text <> _first").select("_id", "_text").distinct()
-    repeated = first.filter("_n > 1").select(F.col("component_id").alias("_id"), F.col("_first").alias("_text"))
-    rows = df.withColumns({"_of": df[id_col].cast("long"), "_hash": F.xxhash64(text_or_empty(df, text_col))})
-    same = lambda other: rows["_of"].eqNullSafe(other["_id"]) & (rows["_hash"] == other["_text"])
-    rows = rows.join(gone, same(gone), "left_anti")
-    again = rows.join(repeated, same(repeated), "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("_of", "_hash").orderBy("_hash"))).filter("_rank = 1")
-    return rows.join(repeated, same(repeated), "left_anti").select(df.columns).unionByName(again.select(df.columns))
+    found = materialize(jaccard_components(df, k, num, den, id_col, text_col).withColumnRenamed(id_col, "id"), "ngram-components")
+    linked = found.filter("n_shingles > 0 and component_id is not null").select("component_class", "component_id", "id", F.col("text_hash").alias("h"))
+    first = linked.filter("id = component_id").groupBy("component_class", "component_id").agg(F.min("h").alias("first"))
+    size = linked.groupBy("component_class").agg(F.count(F.lit(1)).alias("rows"))
+    entries = first.drop("component_id").join(size, "component_class")
+    linked = join_entries(linked, entries, ["component_class"], "rows", found.count())
+    gone = linked.filter("id is null or id <> component_id or h <> first").select("id", "h").distinct()
+    repeated = linked.filter("id = component_id and h = first").groupBy("id", "h").count().filter("count > 1").select("id", "h")
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[id_col].cast("long").alias("id"), text_key(text_or_empty(df, text_col)).alias("h"))
+    rows = rows.join(gone.withColumnsRenamed({"id": "gone", "h": "gone_h"}), F.col("id").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    again = rows.join(repeated, ["id", "h"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))).filter("rank = 1")
+    return rows.join(repeated, ["id", "h"], "left_anti").select("row").unionByName(again.select("row")).select("row.*")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.sources.tables import materialize, shared_folder
+from scorelake.sources.tables import join_entries, materialize, shared_folder
 
-__all__ = ["bits_for", "free_names", "flipped", "in_bitmap", "join_entries", "materialize", "prefix", "ranked", "shared_folder", "text_or_empty"]
+__all__ = ["bits_for", "free_names", "flipped", "in_bitmap", "join_entries", "materialize", "prefix", "ranked", "salted", "shared_folder", "text_or_empty"]
 
 
 def text_or_empty(df: DataFrame, text_col: str) -> Column:
@@ -58,18 +58,19 @@ def ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str], name:
     return df.join(offsets, [*keys, bucket]).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).drop("_before")
 
 
-def join_entries(rows: DataFrame, entries: DataFrame, keys: list[str], size: str, n_rows: int, share: int = 1000) -> DataFrame:
-    """Inner join of rows with entries, which have one row for each key and the number of rows with it in `size`.
+def salted(rows: DataFrame, entries: DataFrame, key: str, n_rows: int, share: int = 1000) -> DataFrame:
+    """Inner join of rows with entries, which have one row for each key; no task gets many rows of one key.
 
-    Keys of more than n_rows / share rows are fewer than share; their entries are broadcast, so a hot
-    key's rows stay where they are. The others are joined by key. Keys must not be null.
+    Keys of more than n_rows / share rows, fewer than share of them, are cut into parts of about so many rows, and their
+    entries repeated for each. For entries that are too large to be broadcast; rows is read twice. Keys must not be null.
     """
-    least = max(2, n_rows // share + 1)
-    hot = F.broadcast(entries.filter(F.col(size) >= least).withColumn("_hot", F.lit(True)))
-    seen = rows.join(hot, keys, "left")
-    columns = [*rows.columns, *(c for c in entries.columns if c not in keys)]
-    rest = seen.filter("_hot is null").select(rows.columns).join(entries.filter(F.col(size) < least), keys)
-    return seen.filter("_hot").select(columns).unionByName(rest.select(columns))
+    least = max(64, n_rows // share + 1)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return dealt.join(entries.join(hot, key, "left").withColumn("_part", parts).drop("_parts"), [key, "_part"]).drop("_part")
 
 
 def in_bitmap(wanted: DataFrame, column: str, probe: Column, bits: int = 18) -> Column:

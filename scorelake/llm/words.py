@@ -1,32 +1,35 @@
-"""Words and word shingles of whole texts as 64-bit hashes, in numpy, for the tasks of other operators."""
+"""Words and word shingles of whole texts, as bytes, as 64-bit hashes and as exact numbers, for the tasks of other operators."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+class _Hashes(dict):
+    """The hash of each word, cryptographic, so that no words are made to collide; so many are remembered."""
+
+    MOST = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_hashes = _Hashes()
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def words_of(text: str) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased: runs of other than space and the characters 9 to 13."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,32 +39,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str, keep: np.ndarray | None = None) -> np.ndarray:
-    """The hash of each word, A-Z lower-cased. Words are runs of bytes other than white space, or of those in keep."""
-    data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = keep[data] if keep is not None else ~_SPACE[data]
-    turns = np.diff(inside)
-    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-    powers, inverses = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """The hash of each word."""
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def alnum_hashes(text: str) -> np.ndarray:
-    """As word_hashes; words are runs of ASCII letters and digits and of other characters' bytes."""
-    return word_hashes(text, _ALNUM)
+    """The hash of each word, A-Z lower-cased, where words are runs of ASCII letters and digits and of other characters' bytes."""
+    return hashes_of(_ALNUM.findall(text.encode("utf-8", "surrogatepass").lower()))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each run of k words; with fewer words, of all of them as one; none without words."""
+    """The hash of each run of k words, given by theirs; with fewer words, of all of them as one; none without words."""
     k = min(k, len(words))
     if not k:
         return np.zeros(0, np.uint64)
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        out = out * np.uint64(_BASE) + words[i : len(words) - k + 1 + i]
+        out = out * _BASE + words[i : len(words) - k + 1 + i]
     return mixed(out)
+
+
+def exact_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """The set of shingles of each text as rising numbers, which are equal in two of them only for the same words.
+
+    Nothing is hashed: words, and then runs of two, three to k of them, are numbered among all texts given.
+    """
+    number: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        row = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
+        rows.append(np.array(row + [0] * (k - len(row)) if row else [], np.int64))  # 0 is no word
+    sizes = [max(0, len(r) - k + 1) for r in rows]
+    place = lambda i: np.concatenate([r[i : i + n] for r, n in zip(rows, sizes, strict=True)] or [np.zeros(0, np.int64)])
+    ids = place(0)
+    for i in range(1, k):
+        ids = np.unique(ids * (len(number) + 1) + place(i), return_inverse=True)[1]
+    return [np.unique(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []

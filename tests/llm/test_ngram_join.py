@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from scorelake.llm import ngram_join as g
+from scorelake.llm.words import exact_sets
 
 
 def brute(rows, rule):
@@ -69,6 +70,38 @@ def test_components(spark, seed, k, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == brute(rows, g.Rule(k, num, 100))
 
 
+def thue_morse(n, a, b):
+    """A word of n letters that any polynomial modulo 2**64 of odd base maps to the same number as the one with a and b swapped."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("bits", [64, 5])
+def test_words_decide_not_hashes(spark, bits):
+    """Words that collide in simple hashes, and classes whose ids clash, are told apart."""
+    rows = [(1, thue_morse(1024, "a", "b")), (2, thue_morse(1024, "b", "a")), *((10 + k, f"w{k} " * 3 + f"v{k % 40}") for k in range(120))]
+    rows += [(500 + k, "  ".join(rows[2 + k][1].upper().split())) for k in range(0, 120, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = g.Rule(4, 85, 100, bits)
+    out = g.components_of(df, rule, "doc_id", "text")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == brute(rows, rule)
+
+
+def test_exact_sets():
+    texts = ["A b c d e", "a B c d e f", "x", "", "a b", "b a", "a b c d e a b c d"]
+    for k in (1, 2, 4, 5):
+        plain = []
+        for t in texts:
+            w = t.lower().split()
+            n = min(k, len(w))
+            plain.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+        sets = exact_sets(texts, k)
+        for i, a in enumerate(plain):
+            assert len(sets[i]) == len(a)
+            for j, b in enumerate(plain):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(a & b)
+    assert exact_sets([], 4) == []
+
+
 def test_hot_keys(spark, monkeypatch):
     """With tiny limits, pivots and blocks do the work."""
     monkeypatch.setattr(g, "SMALL", 2)
@@ -81,9 +114,11 @@ def test_hot_keys(spark, monkeypatch):
 
 def test_one_stays(spark):
     rows = corpus(4, 120)
-    df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, n int")
+    names = "_of _hash _id _text _rank row id h rank component_id component_class gone gone_h".split()
+    df = spark.createDataFrame([(d, t, *(f"{c} {d}" for c in names)) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
     kept = g.one_of_each_component(df, 5, 80)
     assert kept.columns == df.columns
+    assert all(r[c] == f"{c} {r.doc_id}" for r in kept.collect() for c in names)
     found = g.jaccard_components(df, 5, 80).collect()
     components = {r.component_class for r in found if r.n_shingles and r.component_id is not None}
     others = [r for r in found if not r.n_shingles or r.component_id is None]
