@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models for strings that no pattern names.
 
 Two first-order models over characters are trained on labelled samples, one on random strings and
-one on ordinary identifiers and words. A run of key characters is a secret when its log-likelihood
-ratio for each character passes a threshold, which is set on the ordinary samples that were held
-out. Runs that a fixed pattern already covers are left to it.
+one on ordinary identifiers and words. Inside each run of key characters that no fixed pattern covers, the stretch
+with the largest sum of log-likelihood ratios is a secret when that sum passes a threshold: under the ordinary
+model the largest sum among n characters exceeds x with a probability of about n exp(-x), so the threshold is log n
+and a margin, which is set on the ordinary samples that were held out. So words around a key don't hide it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections.abc import Iterable
@@ -26,11 +28,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-#: What the Markov models judge: whole runs of key characters of at least this length.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What the Markov models judge: runs of key characters. A stretch has so many characters at least, and so many
+#: different ones (rulers and repetitions have fewer).
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST, DISTINCT = 12, 8
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _AT = {c: i for i, c in enumerate(ALPHABET)}
+_CODES = np.zeros(128, np.int64)
+_CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
 # Ordinary words, for the sample of ordinary identifiers.
 WORDS = """
@@ -83,15 +89,34 @@ def random_samples(n: int, seed: int = 2) -> list[str]:
 
 @dataclass(frozen=True)
 class MarkovPair:
-    """Log-likelihood ratios of first characters and of steps between characters, and the threshold for their mean."""
+    """Log-likelihood ratios of first characters and of steps between characters, and what a stretch must have beyond the log of its run's length."""
 
     first: np.ndarray
     step: np.ndarray
-    threshold: float
-
-    def ratio(self, run: str) -> float:
-        at = [_AT[c] for c in run]
-        return float((self.first[at[0]] + self.step[at[:-1], at[1:]].sum()) / len(at))
+    margin: float
+
+    def best(self, run: str) -> tuple[float, int, int]:
+        """(sum of ratios, start, end) of the stretch with the largest sum."""
+        at = _CODES[np.frombuffer(run.encode("ascii"), np.uint8)]
+        sums = np.concatenate(([0.0], np.cumsum(np.concatenate((self.first[at[:1]], self.step[at[:-1], at[1:]])))))
+        low = np.minimum.accumulate(sums)
+        end = int(np.argmax(sums - low))
+        return float(sums[end] - low[end]), int(np.argmin(sums[: end + 1])), end
+
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """The stretches of a run that are secrets, in order; none overlap."""
+        found, todo = [], [(0, len(run))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < LEAST:
+                continue
+            total, s, e = self.best(run[a:b])
+            if total < math.log(b - a) + self.margin:
+                continue
+            if e - s >= LEAST and len(set(run[a + s : a + e])) >= DISTINCT:
+                found.append((a + s, a + e))
+            todo += [(a, a + s), (a + e, b)]
+        return sorted(found)
 
 
 def _counted(samples: Iterable[str], smoothing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -105,16 +130,15 @@ def _counted(samples: Iterable[str], smoothing: float) -> tuple[np.ndarray, np.n
     return np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True))
 
 
-def train(labelled: Iterable[tuple[str, int]], smoothing: float = 0.5, margin: float = 0.1) -> MarkovPair:
-    """labelled: (string, 1 if random else 0). Each fifth ordinary string is held out; the threshold is their largest ratio plus margin, and not below 0."""
+def train(labelled: Iterable[tuple[str, int]], smoothing: float = 0.5, slack: float = 4.0) -> MarkovPair:
+    """labelled: (string, 1 if random else 0). Each fifth ordinary string is held out; the margin is the largest sum beyond the log of the length among them, and slack."""
     labelled = list(labelled)
     ordinary = [s for s, y in labelled if y == 0]
     held, ordinary = ordinary[::5], [s for k, s in enumerate(ordinary) if k % 5]
     f1, s1 = _counted((s for s, y in labelled if y == 1), smoothing)
     f0, s0 = _counted(ordinary, smoothing)
     pair = MarkovPair(f1 - f0, s1 - s0, 0.0)
-    ratios = sorted(pair.ratio(s) for s in held if len(s) >= 20)
-    return MarkovPair(pair.first, pair.step, max(0.0, ratios[-1] + margin if ratios else 0.0))
+    return MarkovPair(pair.first, pair.step, slack + max((pair.best(s)[0] - math.log(len(s)) for s in held if RUN.fullmatch(s)), default=0.0))
 
 
 def default_model(n: int = 8000) -> MarkovPair:
@@ -123,18 +147,27 @@ def default_model(n: int = 8000) -> MarkovPair:
 
 
 def scan(text: str, model: MarkovPair) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, ordered by start, then kind as listed: assign, access, hex, markov."""
+    """(start, end, kind) in code points, ordered by start, then kind as listed: assign, access, hex, markov. Time is linear in the text."""
     spans = []
     lowered = text.lower()
     if any(w in lowered for w in ("passw", "secret", "token", "api_key", "apikey")):
         spans += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    base = list(spans)
+    base = sorted(spans)
+    at = 0  # spans before it end before the run
     for m in RUN.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, e, _ in base) and len(set(m[0])) >= 8 and model.ratio(m[0]) >= model.threshold:
-            spans.append((a, b, 3))
+        while at < len(base) and base[at][1] <= a:
+            at += 1
+        free, k = [], at
+        while a < b:  # the parts of the run between base spans
+            s, e = (base[k][0], base[k][1]) if k < len(base) and base[k][0] < b else (b, b)
+            if a < s:
+                free.append((a, s))
+            a, k = max(a, e), k + 1
+        for s, e in free:
+            spans += [(s + x, s + y, 3) for x, y in model.stretches(text[s:e])]
     names = ("assign", "access", "hex", "markov")
     return [(s, e, names[k]) for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1]))]
 

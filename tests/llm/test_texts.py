@@ -155,11 +155,51 @@ def test_base_spans(spark):
 
 def test_markov_models_find_keys_and_leave_words():
     model = secrets.default_model()
-    found = sum(model.ratio(s) >= model.threshold for s in secrets.random_samples(2000, 77))
-    wrong = sum(model.ratio(s) >= model.threshold for s in secrets.ordinary_samples(2000, 78) if len(s) >= 20)
-    assert found / 2000 > 0.99 and wrong / 2000 < 0.01
-    text = "key wJalrXUtnFEMIK7MDENGbPxRfiCYzQ12 and thisIsAnOrdinaryIdentifierName"
-    assert [k for _, _, k in secrets.scan(text, model)] == ["markov"]
+    found = sum(bool(model.stretches(s)) for s in secrets.random_samples(2000, 77))
+    wrong = sum(bool(model.stretches(s)) for s in secrets.ordinary_samples(2000, 78))
+    assert found / 2000 > 0.99 and wrong == 0
+    for text in ("key wJalrXUtnFEMIK7MDENGbPxRfiCYzQ12 and thisIsAnOrdinaryIdentifierName", "see aXk29fQ7vBn03LmZp8RtYw61 and internationalization_of_the_configuration_values"):
+        assert [k for _, _, k in secrets.scan(text, model)] == ["markov"]
+
+
+def test_the_best_stretch_is_that_of_plain_code():
+    model, rng = secrets.default_model(500), random.Random(6)
+    for _ in range(60):
+        run = "".join(rng.choices(secrets.ALPHABET, k=rng.randint(16, 40)))
+        at = [secrets.ALPHABET.index(c) for c in run]
+        ratios = [model.first[at[0]], *(model.step[x, y] for x, y in zip(at, at[1:]))]
+        plain = max(sum(ratios[i:j]) for i in range(len(run)) for j in range(i, len(run) + 1))
+        total, start, end = model.best(run)
+        assert total == pytest.approx(plain) and sum(ratios[start:end]) == pytest.approx(plain)
+
+
+def test_secrets_planted_in_documents(spark):
+    """Keys of 24 to 40 characters, alone, behind a path and next to a base span, in the table's own texts; those left as they are have none."""
+    model, rng = secrets.default_model(), random.Random(5)
+    docs = [r.text or "" for r in table(spark, "documents").collect()]
+    assert not any(k == "markov" for text in docs for _, _, k in secrets.scan(text, model))
+    found = 0
+    for text in docs:
+        key = "".join(rng.choices(secrets.ALPHABET[:62], k=rng.randint(24, 40)))
+        before = rng.choice([" ", " /usr/share/config/values/", " name=", " AKIA" + "".join(rng.choices("ABCDEFGH234567", k=16)) + "+"])
+        at = text.find(" ") + 1
+        changed = text[:at] + before + key + " " + text[at:]
+        start = at + len(before)
+        spans = [(s, e) for s, e, k in secrets.scan(changed, model) if k == "markov"]
+        found += any(min(e, start + len(key)) - max(s, start) >= 0.8 * len(key) for s, e in spans)
+    assert found / len(docs) > 0.95
+
+
+def test_secret_scan_is_linear():
+    model = secrets.default_model(500)
+
+    def took(n):
+        text, start = "token = abcdefgh12345678 kkk/ab+cd/ef=gh" * n, time.perf_counter()
+        secrets.scan(text, model)
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(16_000) < 20 * max(took(2_000), 0.02)
 
 
 def test_license_bands_find_least_matches():
