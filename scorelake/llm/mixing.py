@@ -6,11 +6,11 @@ virtual time v; the sum of all is the number of slots t(v) filled by then. So th
 a window: it may take a slot from floor(t((j - 1) / w)) on and must have one before ceil(t(j / w)). Each
 slot goes to the block with the earliest deadline among those released. Weights are not rounded.
 
-No scheduler sees all slots: they are cut into chunks. The same rule, with chunks in place of slots, says
-how many blocks of each source come before a chunk's end, always the target rounded down or up; the slots
-of a chunk are then dealt out in one task, without regard to the others. Rounding never adds up: at a
-chunk's end a source is less than one block off its target. Shortly before it may be slightly more, where
-the blocks chosen for the chunk have later windows than those left for the next (1.35 in the test).
+No scheduler sees all slots: they are cut into chunks, each dealt out in one task without regard to the others.
+Of the blocks whose windows a chunk's end cuts, those with the earliest deadlines come before it, as far as
+their releases leave room: for each slot r, the blocks released from r on that come before the end t are at
+most t - r. With such a choice at both ends every block of a chunk gets a slot in its window, so at any slot
+a source is less than one block off its target.
 
 Any number of sources: those with less than 1 / MOST_ALONE of all weight form classes of weights that
 differ by less than twice. A class is scheduled as one source; inside, blocks go by the virtual time
@@ -26,27 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bits_for, materialize, prefix, ranked, text_or_empty
+from .shared import bits_for, free_names, materialize, prefix, ranked, text_or_empty
 
 #: Slots of a chunk at least, and chunks at most; and the most sources that are no part of a class.
 PERIOD, MOST_CHUNKS, MOST_ALONE = 2048, 4096, 256
+#: Slots before a chunk's end in which room for the blocks that it cuts is looked for: all of the chunk, unless it is longer.
+LOOK_BACK = 1 << 16
 #: What rounding of numbers may add to a number of slots.
 TINY = 1e-7
 
-def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as numbers of slots in a period, 1 at least, adding up to the period (largest remainders; ties by name)."""
-    total = sum(weights.values())
-    exact = {s: max(w, 0.0) / total * period if total > 0 else period / len(weights) for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    while sum(slots.values()) != period:
-        if sum(slots.values()) < period:
-            s = max(sorted(slots), key=lambda s: exact[s] - slots[s])
-            slots[s] += 1
-        else:
-            s = max((s for s in sorted(slots) if slots[s] > 1), key=lambda s: slots[s] - exact[s])
-            slots[s] -= 1
-    return slots
-
 
 def earliest_deadlines(windows: list[tuple], first: int = 0) -> list[tuple]:
     """(name, number, slot) of the jobs (name, number, release, deadline), a slot each from first on: earliest deadline first among the released.
@@ -66,15 +54,6 @@ def earliest_deadlines(windows: list[tuple], first: int = 0) -> list[tuple]:
     return out
 
 
-def period_slots(slots: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period: earliest deadline first among released blocks; ties by name."""
-    period = sum(slots.values())
-    found: dict[str, list[int]] = {s: [] for s in slots}
-    for s, _, t in earliest_deadlines([(s, j, j * period // n, -(-(j + 1) * period // n)) for s, n in slots.items() for j in range(n)]):
-        found[s].append(t)
-    return found
-
-
 def _curve(w: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Virtual times, and the blocks that n sources each of these weights and blocks have given by then; linear between."""
     order = np.argsort(blocks / w, kind="stable")
@@ -104,20 +83,43 @@ class Plan:
         target = np.array([np.interp(self.times, *c) for c in self.own])
         target[:, -1] = [round(c[1][-1]) for c in self.own]
         low, high = np.floor(target + TINY), np.ceil(target - TINY)
-        due = np.array([np.interp(x + 1, c[1], c[0]) for x, c in zip(low, self.own, strict=True)])
         #: blocks of each class before each chunk's end
         self.before = np.zeros(target.shape, np.int64)
         for q in range(1, len(self.ends)):
-            taken = np.maximum(self.before[:, q - 1], low[:, q])
-            open_ = np.flatnonzero(taken < high[:, q])
-            free = int(self.ends[q] - taken.sum())
-            taken[open_[np.argsort(due[open_, q], kind="stable")][: max(free, 0)]] += 1
+            taken = low[:, q].copy()
+            taken[self._early(q, taken, np.flatnonzero(taken < high[:, q]))] += 1
             while (free := int(self.ends[q] - taken.sum())) != 0:  # only by inexact numbers
                 step = 1 if free > 0 else -1
                 may = taken < target[:, -1] if free > 0 else taken > self.before[:, q - 1]
                 taken[np.argmax(np.where(may, step * (target[:, q] - taken), -np.inf))] += step
             self.before[:, q] = taken
 
+    def _early(self, q: int, low: np.ndarray, open_: np.ndarray) -> list[int]:
+        """The classes, of those whose next block has a window that chunk q's predecessor's end cuts, that have this block before it."""
+        end, free = int(self.ends[q]), int(self.ends[q] - low.sum())
+        if not len(open_) or free <= 0:
+            return []
+        first = max(int(self.ends[q - 1]), end - LOOK_BACK)
+        release = lambda curve, n: np.floor(np.interp(np.interp(n, curve[1], curve[0]), *self.all) + TINY).astype(int)
+        # how many blocks that must come before the end are released in each slot
+        released = np.zeros(end - first + 1, np.int64)
+        v = np.interp(first, self.all[1], self.all[0])
+        for curve, n in zip(self.own, low, strict=True):
+            some = np.arange(np.ceil(np.interp(v, *curve) - TINY), n)
+            if len(some):
+                np.add.at(released, np.maximum(release(curve, some) - first, 0), 1)
+        room = end - np.arange(first, end + 1) - np.cumsum(released[::-1])[::-1]
+        room[0] = max(room[0], free)  # blocks left over by the chunk before are released there: the numbers fit as a whole
+        due = [np.interp(low[i] + 1, self.own[i][1], self.own[i][0]) for i in open_]
+        chosen = []
+        for k in np.argsort(due, kind="stable"):
+            i = int(open_[k])
+            some = room[: max(0, int(release(self.own[i], low[i])) - first) + 1]
+            if len(chosen) < free and some.min() >= 1:
+                some -= 1
+                chosen.append(i)
+        return chosen
+
     def chunk_slots(self, q: int) -> list[tuple]:
         """(class, number of the block in its class, slot) of chunk q."""
         windows = []
@@ -182,33 +184,40 @@ def _placed(sources: DataFrame, block: int) -> DataFrame:
     return placed.select("source_key", "block", "slot", (F.col("l") + so_far("last", inside)).alias("phase"), (F.col("r") + so_far("rows", inside)).alias("start"))
 
 
-def mixed_positions(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = 64, rows_per_task: int = 2_000, keep: list[str] | None = None) -> DataFrame:
-    """The rows of df with mix_phase, mix_block, mix_slot and mix_position (gapless from 0: the order of training).
+#: The columns that mixing adds.
+ADDED = ["mix_phase", "mix_block", "mix_slot", "mix_position"]
 
-    weights: target weight of each source; without, the square roots of their numbers of rows. A source
-    missing there gets the smallest weight given. Null sources count as ''. Within a source rows are
-    ordered by the hash of their ids and texts. All rows get a position, repeated ones too. keep: columns
-    of df to return (default: source and id).
-    """
+
+def _mixed(df: DataFrame, keep: list[str], slim: bool, weights: dict[str, float] | None, source_col: str, id_col: str, text_col: str, block: int, rows_per_task: int) -> DataFrame:
+    """row (a struct of the columns keep) and ADDED. slim: rows are small and worth writing once."""
     source = F.coalesce(df[source_col].cast("string"), F.lit(""))
     sources = _sources(df, source, weights, block)
     most = sources.agg(F.max("n")).first()[0] or 0
     blocks = _placed(sources, block)
     bits = bits_for(most, rows_per_task)
-    # the result's new columns must not meet columns of df with their names
-    own = df.select(F.struct(*(df[c] for c in (keep or [source_col, id_col]))).alias("row"), source.alias("source_key"), F.xxhash64(df[id_col], text_or_empty(df, text_col)).alias("h"))
+    own = df.select(F.struct(*(df[c] for c in keep)).alias("row"), source.alias("source_key"), F.xxhash64(df[id_col], text_or_empty(df, text_col)).alias("h"))
     own = own.withColumn("part", prefix(F.col("h"), bits))
-    if not keep:
+    if slim:
         own = materialize(own, "mix-keys")
     own = ranked(own, ["source_key"], "part", ["h"], "place").withColumn("block", F.floor(F.col("place") / block).cast("long"))
     found = own.join(blocks, ["source_key", "block"])
-    position = F.col("start") + F.col("place") % block
-    names = [*(keep or [source_col, id_col])]
-    return found.select(*(F.col("row").getField(c).alias(c) for c in names), F.col("phase").alias("mix_phase"), F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), position.alias("mix_position"))
+    return found.select("row", F.col("phase").alias("mix_phase"), F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), (F.col("start") + F.col("place") % block).alias("mix_position"))
+
+
+def mixed_positions(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = 64, rows_per_task: int = 2_000, keep: list[str] | None = None) -> DataFrame:
+    """The rows of df with mix_phase, mix_block, mix_slot and mix_position (gapless from 0: the order of training).
+
+    weights: target weight of each source; without, the square roots of their numbers of rows. A source
+    missing there gets the smallest weight given. Null sources count as '', null texts as empty. Within a source
+    rows are ordered by the hash of their ids and texts, of whatever length. All rows get a position, repeated ones
+    too. keep: columns of df to return (default: source and id); one that is named like an added one gets "_" appended.
+    """
+    names = keep or [source_col, id_col]
+    placed = _mixed(df, names, not keep, weights, source_col, id_col, text_col, block, rows_per_task)
+    return placed.select(*(F.col("row").getField(c).alias(new) for c, new in zip(names, free_names(names, ADDED), strict=True)), *ADDED)
 
 
 def mixed_documents(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = 64) -> DataFrame:
-    """The rows of df with their columns, in the order of training: partitions and the rows in them follow the mix."""
-    clean = [c for c in df.columns if c not in ("mix_phase", "mix_block", "mix_slot", "mix_position")]
-    placed = mixed_positions(df, weights, source_col, id_col, text_col, block, keep=df.columns if clean == df.columns else clean)
-    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(clean)
+    """The rows of df with their columns, whatever their names, in the order of training: partitions and the rows in them follow the mix."""
+    placed = _mixed(df, df.columns, False, weights, source_col, id_col, text_col, block, 2_000)
+    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("row.*")
