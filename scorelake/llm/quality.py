@@ -2,7 +2,7 @@
 
 Each class has its own mean and covariance, shrunk towards the diagonal of the pooled
 covariance. A document's score comes from the difference of the two log densities, for which the
-Cholesky factor of each covariance is computed once and kept. Statistics of all labelled
+inverse Cholesky factor of each covariance is computed once and kept. Statistics of all labelled
 training documents are summed by Spark; the driver sees one row of moments for each class.
 """
 
@@ -31,6 +31,9 @@ _ASCII = _CODE < 128
 _SYMBOL = _ASCII & (_CODE > 32) & (_CODE < 127) & ~(_UPPER | _LOWER | _DIGIT | _MARK)
 
 
+#: Labelled rows, of some 16 bytes, that are sent to all tasks; more are joined by id.
+FEW_LABELS = 500_000
+
 #: Counts that stand behind every statistic, so that a few words don't look extreme.
 _PRIOR = 20
 
@@ -72,19 +75,19 @@ def statistics_of(texts: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """For classes 0 and 1: mean, Cholesky factor of the covariance, log prior less half its log determinant."""
+    """For classes 0 and 1: mean, inverse of the covariance's Cholesky factor, log prior less half the log determinant."""
 
     means: tuple[np.ndarray, np.ndarray]
-    factors: tuple[np.ndarray, np.ndarray]
+    whitening: tuple[np.ndarray, np.ndarray]
     offsets: tuple[float, float]
     scale: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0, priors included, for each row."""
         logs = []
-        for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(offset - 0.5 * (z * z).sum(axis=0))
+        for mean, whiten, offset in zip(self.means, self.whitening, self.offsets, strict=True):
+            z = (x - mean) @ whiten.T
+            logs.append(offset - 0.5 * (z * z).sum(axis=1))
         return logs[1] - logs[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -116,7 +119,8 @@ def fit(features: DataFrame, shrinkage: float = 0.1) -> Discriminant | None:
     pooled = np.diag(sum(n * np.diag(c) for n, c in zip(counts, covariances, strict=True)) / sum(counts) + 1e-3)
     factors = [np.linalg.cholesky((1 - shrinkage) * c + shrinkage * pooled) for c in covariances]
     offsets = [float(np.log(n / sum(counts)) - np.log(np.diag(f)).sum()) for n, f in zip(counts, factors, strict=True)]
-    return Discriminant((means[0], means[1]), (factors[0], factors[1]), (offsets[0], offsets[1]), float(d))
+    whitening = [np.linalg.inv(f) for f in factors]
+    return Discriminant((means[0], means[1]), (whitening[0], whitening[1]), (offsets[0], offsets[1]), float(d))
 
 
 def held_out(id_: Column) -> Column:
@@ -128,6 +132,8 @@ def labelled_statistics(df: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     """(id and statistics of all documents, on shared files; x and label of those to learn from)."""
     features = materialize(df.select(df[id_col].alias("id"), statistics_of(text_or_empty(df, text_col)).alias("x")), "quality-statistics")
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter(~held_out(F.col("id")))
+    if known.count() <= FEW_LABELS:
+        known = F.broadcast(known)
     return features, features.join(known, "id").select("x", "label")
 
 

@@ -34,6 +34,28 @@ def test_quality_on_held_out_rows(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
 
 
+def test_the_discriminant_is_that_of_plain_formulas(spark):
+    """Means, covariances, shrinkage and the difference of log densities against plain numpy, with and without a broadcast of the labels."""
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(quality.statistics(r.text), label[r.doc_id]) for r in docs.collect() if r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    pooled = sum(np.cov(x[y == k].T, bias=True) * (y == k).sum() for k in (0, 1)) / len(y)
+    logs = []
+    for k in (0, 1):
+        cov = 0.9 * np.cov(x[y == k].T, bias=True) + 0.1 * np.diag(np.diag(pooled) + 1e-3)
+        away = x - x[y == k].mean(axis=0)
+        mahalanobis = np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away)
+        logs.append(np.log((y == k).mean()) - 0.5 * (np.linalg.slogdet(cov)[1] + mahalanobis))
+    for few in (quality.FEW_LABELS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(quality, "FEW_LABELS", few)
+            _, train = quality.labelled_statistics(docs, labels)
+            model = quality.fit(train)
+        assert np.allclose(model.margin(x), logs[1] - logs[0], rtol=1e-6, atol=1e-6)
+        assert ((model.score(x) >= 0.5) == (logs[1] >= logs[0])).all()
+
+
 def test_quality_of_odd_rows(spark, odd):
     df, rows = odd
     empty = spark.createDataFrame([], "doc_id long, quality int")
