@@ -16,7 +16,7 @@ KEYS = ("staff_id",)
 def parse(strings: DataFrame, keys=KEYS, column: str = "tokens") -> DataFrame:
     """Symbols (see `rules`) of token strings, one row for each note of a chord: seq, chord_pos, measure_no, kind, ...
 
-    Rests and chords without notes have one row; its ticks are the chord's, the notes' own are in note_ticks.
+    Rests and chords without notes have one row; its base, modifier and ticks are the chord's, the notes' own are in note_base, note_modifier and note_ticks.
     A key counts only right after a clef of the same measure; it has no row. Multirests and unknown tokens go.
     """
     parts = strings.select(*keys, F.posexplode(F.split(column, r"\+")).alias("pos", "token"))
@@ -57,7 +57,7 @@ def parse(strings: DataFrame, keys=KEYS, column: str = "tokens") -> DataFrame:
         F.posexplode_outer("_chord.notes").alias("chord_pos", "_note"),
     )
     kind = F.when((F.col("kind") == "note") & F.col("_note").isNull(), "rest").otherwise(F.col("kind"))
-    return parts.select(*keys, "seq", F.coalesce("chord_pos", F.lit(0)).alias("chord_pos"), kind.alias("kind"), "measure_no", "sign", "fifths", "num", "den", "_note.step", "_note.octave", "_note.alter", "base", "modifier", "ticks", F.col("_note.ticks").alias("note_ticks"))
+    return parts.select(*keys, "seq", F.coalesce("chord_pos", F.lit(0)).alias("chord_pos"), kind.alias("kind"), "measure_no", "sign", "fifths", "num", "den", "_note.step", "_note.octave", "_note.alter", "base", "modifier", "ticks", *(F.col(f"_note.{c}").alias(f"note_{c}") for c in ("base", "modifier", "ticks")))
 
 
 def counted(strings: DataFrame, keys=KEYS, column: str = "tokens") -> DataFrame:

@@ -47,10 +47,11 @@ def top_logits(logits: DataFrame, threshold: float = 0.7, keys=("vec_id",), valu
 
 
 def usual_only(rows: DataFrame, value: str = "unit", keys=("page_id",)) -> DataFrame:
-    """Rows within two population standard deviations of their key's mean."""
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumns({"_mean": F.avg(value).over(w), "_std": F.stddev_pop(value).over(w)})
-    return rows.filter(F.abs(F.col(value) - F.col("_mean")) <= 2 * F.col("_std")).drop("_mean", "_std")
+    """Rows within two population standard deviations of their key's mean. A hot key is summed in parts, and its rows stay where they are."""
+    stats = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    found = rows.join(stats, same).filter(F.abs(F.col(value) - F.col("_mean")) <= 2 * F.col("_std"))
+    return found.select(rows.columns)
 
 
 def without_duplicate_staffs(staffs: DataFrame, key: str = "page_id") -> DataFrame:

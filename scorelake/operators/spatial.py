@@ -220,12 +220,18 @@ def fragments_in_zones(fragments: DataFrame, zones: DataFrame, page: str = "page
 def contained_once(sets: DataFrame, supersets: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, set_id, super_id): sets all of whose items are in a superset; super_id is null unless there is exactly one such superset.
 
-    sets: page, set_id, item; supersets: page, super_id, item. Counted over an equal join, without pairing all sets.
+    sets: page, set_id, item; supersets: page, super_id, item. A superset must hold the set's rarest item, so a set
+    meets only the supersets with that one, and whole sets are compared there.
     """
-    size = sets.select(page, "set_id", "item").distinct().groupBy(page, "set_id").agg(F.count(F.lit(1)).alias("n"))
-    common = sets.select(page, "set_id", "item").distinct().join(supersets.select(page, "super_id", "item").distinct(), [page, "item"]).groupBy(page, "set_id", "super_id").agg(F.count(F.lit(1)).alias("m"))
-    found = common.join(size, [page, "set_id"]).filter("m = n").groupBy(page, "set_id").agg(F.min("super_id").alias("super_id"), F.count(F.lit(1)).alias("k"))
-    return size.join(found, [page, "set_id"], "left").select(page, "set_id", F.when(F.col("k") == 1, F.col("super_id")).alias("super_id"))
+    of = lambda df, id_: df.groupBy(page, id_).agg(F.collect_set("item").alias("items"))
+    each = of(supersets, "super_id").select(page, "super_id", "items", F.explode("items").alias("item"))
+    often = each.groupBy(page, "item").agg(F.count(F.lit(1)).alias("n"))
+    own = sets.select(page, "set_id", "item").distinct().join(often, [page, "item"], "left")
+    rarest = F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item")
+    own = own.groupBy(page, "set_id").agg(F.collect_set("item").alias("own"), rarest)
+    met = own.join(each, [page, "item"]).filter(F.size(F.array_except("own", "items")) == 0)
+    found = met.groupBy(page, "set_id").agg(F.min("super_id").alias("super_id"), F.count(F.lit(1)).alias("k"))
+    return own.select(page, "set_id").join(found, [page, "set_id"], "left").select(page, "set_id", F.when(F.col("k") == 1, F.col("super_id")).alias("super_id"))
 
 
 def connected_staffs(links: DataFrame, staffs: DataFrame, page: str = "page_id") -> DataFrame:

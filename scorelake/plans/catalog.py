@@ -116,10 +116,10 @@ def nonempty_measures(spark, sf_dir):
 
 def _measures(spark, sf_dir):
     seg = rules.segmented(symbols(spark, sf_dir)).select(F.col("staff_id").alias("doc"), "measure_no").distinct()
-    return seg.select((F.col("doc") % 10).alias("doc_id"), (F.col("doc") / 10).cast("int").alias("voice"), F.floor(F.col("measure_no") / 8).alias("page_no"), (F.floor(F.col("measure_no") / 4) % 2).alias("system_no"), "measure_no")
+    return seg.select(F.floor(F.col("doc") / 10).alias("doc_id"), (F.col("doc") % 10).cast("int").alias("voice"), F.floor(F.col("measure_no") / 8).alias("page_no"), (F.floor(F.col("measure_no") / 4) % 2).alias("system_no"), "measure_no")
 
 
-MEASURES = f"""{SYM}, m AS (SELECT DISTINCT staff_id % 10 AS doc_id, CAST(floor(staff_id / 10.0) AS int) AS voice, CAST(floor(measure_no / 8) AS bigint) AS page_no,
+MEASURES = f"""{SYM}, m AS (SELECT DISTINCT staff_id // 10 AS doc_id, CAST(staff_id % 10 AS int) AS voice, CAST(floor(measure_no / 8) AS bigint) AS page_no,
        CAST(floor(measure_no / 4) AS bigint) % 2 AS system_no, measure_no FROM seg)"""
 
 
@@ -185,13 +185,9 @@ def token_text(spark, sf_dir):
 )
 def token_parse(spark, sf_dir):
     parsed = codec.parse(token_strings(spark, sf_dir))
-    # the number of the time step, keys not counted as they have no row of their own in the stream
-    steps = parsed.filter("chord_pos = 0").withColumn("step_no", F.row_number().over(Window.partitionBy("staff_id").orderBy("seq"))).select("staff_id", "seq", "step_no")
-    notes = parsed.filter("kind = 'note'").join(steps, ["staff_id", "seq"])
-    each = F.struct(*(F.col(c) for c in ("step", "octave", "alter")))
-    words = token_strings(spark, sf_dir).select("staff_id", F.posexplode(F.split("tokens", r"\+")).alias("seq", "token"))
-    own = words.filter(F.col("token").startswith("note")).select("staff_id", "seq", F.posexplode(F.split("token", r"\|")).alias("chord_pos", "t")).withColumn("n", tokens.note(F.col("t")))
-    return notes.withColumn("_e", each).join(own, ["staff_id", "seq", "chord_pos"]).select("staff_id", "step_no", "chord_pos", "_e.step", "_e.octave", "_e.alter", "n.base", "n.modifier")
+    # the number of the time step; keys have no row of their own
+    step = F.dense_rank().over(Window.partitionBy("staff_id").orderBy("seq"))
+    return parsed.withColumn("step_no", step).filter("kind = 'note'").select("staff_id", "step_no", "chord_pos", "step", "octave", "alter", F.col("note_base").alias("base"), F.col("note_modifier").alias("modifier"))
 
 
 @query(
@@ -354,13 +350,13 @@ def nearest_asof(spark, sf_dir):
 
 
 @query(
-    f"""{BOX}, z AS (SELECT page_id, box_id AS anchor_id, y1 - h AS low, y2 + h AS high FROM boxes WHERE box_id % 10 = 1), f AS (SELECT page_id, box_id AS fragment_id, y1 + h / 2.0 AS cy FROM boxes WHERE box_id % 10 = 2)
+    f"""{BOX}, z AS (SELECT page_id, box_id AS anchor_id, y1 - h AS low, y2 + h AS high FROM boxes WHERE box_id % 2 = 0), f AS (SELECT page_id, box_id AS fragment_id, y1 + h / 2.0 AS cy FROM boxes WHERE box_id % 2 = 1)
     SELECT z.page_id, anchor_id, fragment_id FROM z JOIN f ON z.page_id = f.page_id AND cy BETWEEN low AND high"""
 )
 def zone_interval_join(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    zones = b.filter("box_id % 10 = 1").select("page_id", F.col("box_id").alias("anchor_id"), (F.col("y1") - F.col("h")).alias("low"), (F.col("y2") + F.col("h")).alias("high"))
-    fragments = b.filter("box_id % 10 = 2").select("page_id", F.col("box_id").alias("fragment_id"), (F.col("y1") + F.col("h") / 2).alias("cy"))
+    zones = b.filter("box_id % 2 = 0").select("page_id", F.col("box_id").alias("anchor_id"), (F.col("y1") - F.col("h")).alias("low"), (F.col("y2") + F.col("h")).alias("high"))
+    fragments = b.filter("box_id % 2 = 1").select("page_id", F.col("box_id").alias("fragment_id"), (F.col("y1") + F.col("h") / 2).alias("cy"))
     return spatial.fragments_in_zones(fragments, zones)
 
 
@@ -375,16 +371,16 @@ def anti_overlap(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT l_orderkey % 50 AS page_id, l_orderkey AS set_id, l_partkey % 12 AS item FROM lineitem WHERE l_linenumber <= 2),
-    p AS (SELECT DISTINCT l_orderkey % 50 AS page_id, l_orderkey AS super_id, l_partkey % 12 AS item FROM lineitem WHERE l_orderkey % 7 = 0),
+    """WITH i AS (SELECT DISTINCT l_orderkey // 100 AS page_id, l_orderkey AS id, l_partkey % 12 AS item FROM lineitem),
+    s AS (SELECT page_id, id AS set_id, item FROM i WHERE id % 2 = 0), p AS (SELECT page_id, id AS super_id, item FROM i WHERE id % 2 = 1),
     size AS (SELECT page_id, set_id, count(*) AS n FROM s GROUP BY 1, 2),
     m AS (SELECT s.page_id, set_id, super_id, count(*) AS m FROM s JOIN p ON s.page_id = p.page_id AND s.item = p.item GROUP BY 1, 2, 3),
     f AS (SELECT m.page_id, m.set_id, count(*) AS k, min(super_id) AS super_id FROM m JOIN size USING (page_id, set_id) WHERE m = n GROUP BY 1, 2)
     SELECT page_id, set_id, CASE WHEN k = 1 THEN super_id END AS super_id FROM size LEFT JOIN f USING (page_id, set_id)"""
 )
 def set_containment(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("page_id"), "l_orderkey", (F.col("l_partkey") % 12).alias("item"), "l_linenumber")
-    return spatial.contained_once(li.filter("l_linenumber <= 2").withColumnRenamed("l_orderkey", "set_id"), li.filter("l_orderkey % 7 = 0").withColumnRenamed("l_orderkey", "super_id"))
+    li = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("page_id"), "l_orderkey", (F.col("l_partkey") % 12).alias("item"))
+    return spatial.contained_once(li.filter("l_orderkey % 2 = 0").withColumnRenamed("l_orderkey", "set_id"), li.filter("l_orderkey % 2 = 1").withColumnRenamed("l_orderkey", "super_id"))
 
 
 @query(
@@ -456,16 +452,16 @@ def staff_position(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT p_partkey AS page_id, 200 + p_size * 7 AS w, 150 + p_partkey % 400 AS h FROM part WHERE p_partkey <= 200),
+    """WITH p AS (SELECT p_partkey AS page_id, 200 + p_size * 7 AS w, 150 + p_partkey % 400 AS h FROM part),
     t AS (SELECT page_id, least(x * 128, greatest(w - 256, 0)) AS x, least(y * 128, greatest(h - 256, 0)) AS y FROM p, range(40) a(x), range(40) b(y) WHERE x * 128 < w AND y * 128 < h)
     SELECT page_id, x, y, count(*) AS n FROM t GROUP BY 1, 2, 3"""
 )
 def tile_grid(spark, sf_dir):
-    pages = table(spark, sf_dir, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("page_id"), (F.lit(200) + F.col("p_size") * 7).alias("width"), (F.lit(150) + F.col("p_partkey") % 400).alias("height"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), (F.lit(200) + F.col("p_size") * 7).alias("width"), (F.lit(150) + F.col("p_partkey") % 400).alias("height"))
     return raster.tiles(pages, 256).groupBy("page_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-GRID = "g AS (SELECT l_orderkey % 10 AS page_id, l_partkey % 20 AS i, l_suppkey % 20 AS j, round(avg(l_quantity * l_linenumber), 6) AS noise FROM lineitem GROUP BY 1, 2, 3)"
+GRID = "g AS (SELECT l_orderkey // 1000 AS page_id, l_partkey % 20 AS i, l_suppkey % 20 AS j, round(avg(l_quantity * l_linenumber), 6) AS noise FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query(
@@ -474,40 +470,40 @@ GRID = "g AS (SELECT l_orderkey % 10 AS page_id, l_partkey % 20 AS i, l_suppkey
 )
 def noise_mask(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    grid = li.groupBy((F.col("l_orderkey") % 10).alias("page_id"), (F.col("l_partkey") % 20).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.round(F.avg(F.col("l_quantity") * F.col("l_linenumber")), 6).alias("noise"))
+    grid = li.groupBy(F.floor(F.col("l_orderkey") / 1000).alias("page_id"), (F.col("l_partkey") % 20).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.round(F.avg(F.col("l_quantity") * F.col("l_linenumber")), 6).alias("noise"))
     return raster.noise_mask(grid).select("page_id", "i", "j", "keep")
 
 
 @query(
-    """WITH p AS (SELECT l_orderkey % 100 AS page_id, CAST(l_quantity * 5 AS int) AS v FROM lineitem), h AS (SELECT page_id, v, count(*) AS n FROM p GROUP BY 1, 2),
+    """WITH p AS (SELECT l_orderkey // 100 AS page_id, CAST(l_quantity * 5 AS int) AS v FROM lineitem), h AS (SELECT page_id, v, count(*) AS n FROM p GROUP BY 1, 2),
     d AS (SELECT page_id, arg_max(v, (n, -v)) AS dominant FROM h GROUP BY 1),
     c AS (SELECT page_id, CAST(floor(sum(v * n) * 1.0 / sum(n)) AS int) AS center FROM h WHERE v BETWEEN 150 AND 254 GROUP BY 1)
     SELECT page_id, dominant, coalesce(center, 255) AS center FROM d LEFT JOIN c USING (page_id)"""
 )
 def dominant_color(spark, sf_dir):
-    pixels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("page_id"), (F.col("l_quantity") * 5).cast("int").alias("v"))
+    pixels = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("page_id"), (F.col("l_quantity") * 5).cast("int").alias("v"))
     return raster.dominant_intensity(pixels).join(raster.dominant_color(pixels, 255), "page_id").select("page_id", "dominant", "center")
 
 
 @query(
-    """WITH p AS (SELECT l_orderkey % 10 AS page_id, l_partkey % 300 AS y, CAST(l_linenumber > 3 AS int) AS v FROM lineitem),
+    """WITH p AS (SELECT l_orderkey // 1000 AS page_id, l_partkey % 300 AS y, CAST(l_linenumber > 3 AS int) AS v FROM lineitem),
     rows AS (SELECT page_id, y FROM (SELECT DISTINCT page_id FROM p), range(300) t(y)), n AS (SELECT page_id, y, count(*) AS n FROM p WHERE v > 0 GROUP BY 1, 2)
     SELECT page_id, y, coalesce(n, 0) AS n FROM rows LEFT JOIN n USING (page_id, y)"""
 )
 def row_profile(spark, sf_dir):
-    pixels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 10).alias("page_id"), (F.col("l_partkey") % 300).alias("y"), (F.col("l_linenumber") > 3).cast("int").alias("v"))
+    pixels = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("page_id"), (F.col("l_partkey") % 300).alias("y"), (F.col("l_linenumber") > 3).cast("int").alias("v"))
     return staffs.row_profile(pixels, 300)
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT l_orderkey % 300 AS page_id, l_partkey % 600 * (1 + l_suppkey % 2) AS y FROM lineitem WHERE l_linenumber = 1),
+    """WITH p AS (SELECT DISTINCT l_orderkey // 50 AS page_id, l_partkey % 600 * (1 + l_suppkey % 2) AS y FROM lineitem),
     g AS (SELECT *, y - lag(y) OVER (PARTITION BY page_id ORDER BY y) AS gap FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY gap NULLS LAST, y) AS r, count(*) OVER (PARTITION BY page_id) AS n FROM g),
     u AS (SELECT *, avg(CASE WHEN r <= greatest(5, round_even(n * 0.2, 0)) THEN gap END) OVER (PARTITION BY page_id) AS unit FROM r)
     SELECT page_id, y, CAST(sum(CASE WHEN gap > unit * 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y ROWS UNBOUNDED PRECEDING) AS int) AS peak_group FROM u"""
 )
 def peak_groups(spark, sf_dir):
-    peaks = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 300).alias("page_id"), (F.col("l_partkey") % 600 * (1 + F.col("l_suppkey") % 2)).alias("y")).distinct()
+    peaks = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 50).alias("page_id"), (F.col("l_partkey") % 600 * (1 + F.col("l_suppkey") % 2)).alias("y")).distinct()
     return staffs.grouped_peaks(peaks).withColumnRenamed("group", "peak_group")
 
 
@@ -515,14 +511,14 @@ def peak_groups(spark, sf_dir):
 
 
 @query(
-    """WITH j AS (SELECT user_id AS doc_id, CASE event_type WHEN 'signup' THEN CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'queued' END WHEN 'error' THEN CASE WHEN user_id % 5 = 0 THEN 'canceled' ELSE 'finished' END ELSE 'finished' END AS status FROM events WHERE event_id % 20 < 1)
+    """WITH j AS (SELECT event_id // 4 AS doc_id, CASE event_type WHEN 'signup' THEN CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'queued' END WHEN 'error' THEN CASE WHEN user_id % 5 = 0 THEN 'canceled' ELSE 'finished' END ELSE 'finished' END AS status FROM events)
     SELECT doc_id, count(*) AS n_jobs, sum(CAST(status = 'finished' AS int)) AS n_finished,
       CASE WHEN bool_and(status = 'finished') THEN 'finished' WHEN bool_or(status IN ('failed', 'stopped', 'canceled')) THEN 'failed' ELSE 'running' END AS status FROM j GROUP BY 1"""
 )
 def job_status(spark, sf_dir):
     t, u = F.col("event_type"), F.col("user_id")
     status = F.when(t == "signup", F.when(u % 3 == 0, "failed").otherwise("queued")).when(t == "error", F.when(u % 5 == 0, "canceled").otherwise("finished")).otherwise("finished")
-    return jobs.order_status(table(spark, sf_dir, "events").filter("event_id % 20 < 1").select(u.alias("doc_id"), status.alias("status")))
+    return jobs.order_status(table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("doc_id"), status.alias("status")))
 
 
 def _pages(spark, sf_dir):
@@ -532,7 +528,7 @@ def _pages(spark, sf_dir):
     no more pages than leave two symbols, one a system, of the shortest.
     """
     s = rules.segmented(symbols(spark, sf_dir))
-    doc, voice = (F.col("staff_id") % 10).alias("doc_id"), F.floor(F.col("staff_id") / 10).alias("voice")
+    doc, voice = F.floor(F.col("staff_id") / 10).alias("doc_id"), (F.col("staff_id") % 10).alias("voice")
     sizes = s.groupBy(doc, voice).agg(F.count(F.lit(1)).alias("n"))
     pages = sizes.groupBy("doc_id").agg(F.least(F.ceil(F.max("n") / 40), F.greatest(F.floor(F.min("n") / 2), F.lit(1))).alias("pages"))
     s = s.select(doc, voice, *(c for c in s.columns if c != "staff_id")).join(sizes.join(pages, "doc_id"), ["doc_id", "voice"])
