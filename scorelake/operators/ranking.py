@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,12 +73,17 @@ def without_duplicate_staffs(staffs: DataFrame, key: str = "page_id") -> DataFra
     return staffs.select(key, "staff_id", "x1", "y1", "x2", "y2", "anchors").groupBy(key).applyInPandas(run, f"{key} long, staff_id long")
 
 
-def sampled(logits: list[float], retries: int = 5, temperature: float = 1.0, accept=lambda k: True) -> int:
-    """The deterministic stand-in for sampling: the largest logit that is accepted; after `retries` refusals the largest of all.
+def generated(logits: DataFrame, end: int = 0, most: int = 256, threshold: float = 0.7, retries: int = 5, keys=("staff_id",)) -> DataFrame:
+    """(keys, step, token) that a decoder gives out, over its logits of each step: up to the first end token, `most` at most.
 
-    Raising the temperature keeps the order of logits, so the retries walk down that order.
+    The deterministic stand-in for sampling: of the top logits (see `top_logits`) the largest that is allowed; raising
+    the temperature keeps their order, so a refusal goes to the next one, `retries` times, and then to the largest of all.
+    logits: keys, step, token, logit, allowed.
     """
-    if not logits or math.isnan(temperature):
-        raise ValueError("no logits")
-    order = sorted(range(len(logits)), key=lambda k: (-logits[k], k))
-    return next((k for k in order[: retries + 1] if accept(k)), order[0])
+    each = Window.partitionBy(*keys, "step")
+    top = top_logits(logits.filter(F.col("step") < most), threshold, (*keys, "step"))
+    rank = F.row_number().over(each.orderBy(F.col("logit").desc(), "token"))
+    refused = ~F.col("allowed") | (F.col("_place") > retries + 1)
+    top = top.withColumn("_place", rank).withColumn("_best", F.row_number().over(each.orderBy(refused.cast("int"), "_place"))).filter("_best = 1")
+    ended = F.max((F.col("token") == end).cast("int")).over(Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return top.withColumn("_ended", ended).filter("_ended = 0").select(*keys, "step", "token")

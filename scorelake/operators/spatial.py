@@ -247,6 +247,29 @@ def connected_staffs(links: DataFrame, staffs: DataFrame, page: str = "page_id")
     return ordered.join(both, [page, "staff_id", "above"], "left").select(page, "staff_id", "min_y", F.coalesce("_j", F.lit(False)).alias("joined"))
 
 
+def met_staffs(braces: DataFrame, symbols: DataFrame, thickness: Column, page: str = "page_id", cell: float = 100.0) -> DataFrame:
+    """(page, brace_id, staff_id): staffs of which a symbol meets a brace that is made thicker. Sides have x1, y1, x2, y2; symbols: staff_id.
+
+    Thickness is 30 for bar lines, 0 for clefs, and two units (a whole number) for staff lines.
+    """
+    half = F.greatest(thickness, F.lit(0)) / 2
+    grown = braces.select(page, F.col("brace_id").alias("box_id"), *((F.col(c) - half).alias(c) for c in ("x1", "y1")), *((F.col(c) + half).alias(c) for c in ("x2", "y2")))
+    found = box_candidates(grown, symbols.withColumnRenamed("symbol_id", "box_id"), cell, page)
+    return found.join(symbols.select(page, F.col("symbol_id").alias("b"), "staff_id"), [page, "b"]).select(page, F.col("a").alias("brace_id"), "staff_id").distinct()
+
+
+def continuing_pairs(fragments: DataFrame, unit: float, most_angle: float = 5.0, page: str = "page_id") -> DataFrame:
+    """(page, a, b), a < b: line fragments of which one goes on in the other. fragments: page, fragment_id, cx, cy, w, angle (at most most_angle either way)."""
+    reach = F.col("w") / 2 + 5 * unit
+    tall = reach * F.tan(F.radians(F.lit(most_angle))) + unit
+    extent = fragments.select(page, F.col("fragment_id").alias("box_id"), (F.col("cx") - reach).alias("x1"), (F.col("cx") + reach).alias("x2"), (F.col("cy") - tall).alias("y1"), (F.col("cy") + tall).alias("y2"))
+    pairs = box_candidates(extent, extent, 200.0, page).filter("a < b")
+    own = lambda s: fragments.select(page, F.col("fragment_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("cx", "cy", "w", "angle")))
+    both = pairs.join(own("a"), [page, "a"]).join(own("b"), [page, "b"])
+    ends = [F.col(f"{s}_{c}") for s in "ab" for c in ("cx", "cy", "w", "angle")]
+    return both.filter(continues(*ends, F.lit(unit))).select(page, "a", "b")
+
+
 def continues(ax: Column, ay: Column, aw: Column, aa: Column, bx: Column, by: Column, bw: Column, ba: Column, u: Column) -> Column:
     """Whether one line fragment goes on in another, extrapolated to the middle between them: at most five units from either, and a third of a unit apart there."""
     left_end, right_start = F.least(ax + aw / 2, bx + bw / 2), F.greatest(ax - aw / 2, bx - bw / 2)

@@ -137,7 +137,7 @@ def measure_breaks(spark, sf_dir):
 # ---- tokens
 
 
-def _note_tokens(spark, sf_dir):
+def note_tokens(spark, sf_dir):
     mark = F.when(F.col("alter") == 1, "#").when(F.col("alter") == -1, "b").when(F.col("alter") == 0, "N").otherwise("")
     dot = F.when(F.col("modifier") == "dot", ".").when(F.col("modifier") == "triplet", "³").otherwise("")
     name = F.element_at(F.array(*map(F.lit, ["whole", "half", "quarter", "eighth", "sixteenth", "thirty_second", "breve"])), (F.col("cents") % 7 + 1).cast("int"))
@@ -154,7 +154,7 @@ def _note_tokens(spark, sf_dir):
 
 def token_strings(spark, sf_dir):
     """(staff_id, tokens): the derived stream as a token string; a note whose cents end in 0 to 2 stacks on the note before it."""
-    rows = _note_tokens(spark, sf_dir)
+    rows = note_tokens(spark, sf_dir)
     w = Window.partitionBy("staff_id").orderBy("seq")
     stack = (F.col("kind") == "note") & (F.lag("kind").over(w) == "note") & (F.col("cents") % 10 < 3)
     joint = F.when(F.row_number().over(w) == 1, "").when(stack, "|").otherwise("+")
@@ -231,7 +231,7 @@ SOUNDING = """n AS (SELECT *, CASE alter_in WHEN 1 THEN '#' WHEN -1 THEN 'b' ELS
     SELECT staff_id, row_number() OVER (PARTITION BY staff_id ORDER BY seq) AS n, step, octave, CASE WHEN snd <> coalesce(before, bykey) THEN snd ELSE '' END AS printed FROM p"""
 )
 def key_codec(spark, sf_dir):
-    rows = _note_tokens(spark, sf_dir).groupBy("staff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]), "+").alias("tokens"))
+    rows = note_tokens(spark, sf_dir).groupBy("staff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]), "+").alias("tokens"))
     printed = codec.with_printed_accidentals(rows).filter("printed is not null")
     n = F.row_number().over(Window.partitionBy("staff_id").orderBy("step_no", "place"))
     return printed.select("staff_id", n.alias("n"), F.substring(tokens.note_pitch_name(F.col("symbol")), 6, 1).alias("step"), F.substring(tokens.note_pitch_name(F.col("symbol")), 7, 1).cast("int").alias("octave"), "printed")

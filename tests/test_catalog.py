@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from scorelake.plans import catalog
+from scorelake.plans import catalog, pages
+
+assert pages  # registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
