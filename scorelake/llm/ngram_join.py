@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from scorelake.operators.grouping import components
 
 from .shared import in_bitmap, join_entries, materialize, ranked, salted, text_or_empty
-from .words import exact_sets, hashes_of, mixed, shingle_hashes, words_of
+from .words import exact_sets, mixed, shingle_hashes, word_hashes, words_of
 
 #: Sets with one key that are paired directly; beyond, the key is hot.
 SMALL = 32
@@ -128,7 +128,7 @@ class Bands:
 
 def shingle_set(text: str, k: int) -> np.ndarray:
     """Distinct shingles by their hashes, in rising order."""
-    return np.unique(shingle_hashes(hashes_of(words_of(text)), k))
+    return np.unique(shingle_hashes(word_hashes(text), k))
 
 
 def class_ids(words: list[bytes], rule: Rule) -> tuple[int, int]:
@@ -196,7 +196,7 @@ def _classes(rule: Rule):
             out: list[list] = [[], [], [], []]
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
-                items = np.unique(shingle_hashes(hashes_of(words), rule.k))
+                items = np.unique(shingle_hashes(word_hashes(text), rule.k))
                 for column, value in zip(out, (len(items), *class_ids(words, rule), sketch_of(items) if len(items) else b""), strict=True):
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -222,7 +222,7 @@ def _keys(rule: Rule, clashing: frozenset[int]):
                 seen[d] = None
                 if len(seen) > REMEMBERED:
                     seen.popitem(last=False)
-                items = np.unique(shingle_hashes(hashes_of(words), rule.k))
+                items = np.unique(shingle_hashes(word_hashes(text), rule.k))
                 for band in bands.of(len(items)):
                     own, weight, spare = keys_of(items, band)
                     keys.append(own.view(np.int64))
@@ -381,8 +381,9 @@ def texts_of(wanted: DataFrame, df: DataFrame, text_col: str = "text") -> DataFr
     wanted = wanted.select("h").distinct()
     text = text_or_empty(df, text_col)
     rows = df.select(text_key(text).alias("h"), text.alias("text"))
-    rows = rows.filter(in_bitmap(wanted.select(F.xxhash64("h").alias("x")), "x", F.xxhash64("h"))).join(wanted, "h", "left_semi")
-    return materialize(rows.groupBy("h").agg(F.first("text").alias("text")), "ngram-texts")
+    rows = rows.filter(in_bitmap(wanted.select(F.xxhash64("h").alias("x")), "x", F.xxhash64("h")))
+    # copies become one before they are exchanged
+    return materialize(rows.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h", "left_semi"), "ngram-texts")
 
 
 def compared_in_blocks(members: DataFrame, df: DataFrame, rule: Rule, text_col: str = "text") -> DataFrame:

@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
-
-
-class _Hashes(dict):
-    """The hash of each word, cryptographic, so that no words are made to collide; so many are remembered."""
-
-    MOST = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return found
-
-
-_hashes = _Hashes()
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: The first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -39,14 +30,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    """The hash of each word."""
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str, outside: np.ndarray = _SPACE) -> np.ndarray:
+    """The hash of each word, A-Z lower-cased. Words are runs of bytes other than white space, or than those outside.
+
+    Eight bytes are taken as one number; the hash so far is mixed with each further eight.
+    """
+    data = text.encode("utf-8", "surrogatepass").lower() + bytes(8)
+    inside = np.zeros(len(data) - 6, np.int8)
+    inside[1:-1] = ~outside[np.frombuffer(data, np.uint8)[:-8]]
+    turns = np.diff(inside)
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    size = ends - starts
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = mixed((eights[starts] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _BASE))
+    at, longer = 8, np.flatnonzero((size > 8) & (size <= _LONG))
+    while len(longer):
+        block = eights[starts[longer] + at] & _FIRST[np.minimum(size[longer] - at, 8)]
+        out[longer] = mixed(out[longer] * _BASE + mixed(block + np.uint64(at)))
+        at += 8
+        longer = longer[size[longer] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def alnum_hashes(text: str) -> np.ndarray:
-    """The hash of each word, A-Z lower-cased, where words are runs of ASCII letters and digits and of other characters' bytes."""
-    return hashes_of(_ALNUM.findall(text.encode("utf-8", "surrogatepass").lower()))
+    """As word_hashes; words are runs of ASCII letters and digits and of other characters' bytes."""
+    return word_hashes(text, ~_ALNUM)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

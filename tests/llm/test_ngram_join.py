@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from scorelake.llm import ngram_join as g
-from scorelake.llm.words import exact_sets
+from scorelake.llm.words import exact_sets, word_hashes, words_of
 
 
 def brute(rows, rule):
@@ -86,6 +86,21 @@ def test_words_decide_not_hashes(spark, bits):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == brute(rows, rule)
 
 
+def test_word_hashes_tell_words_apart():
+    """Equal words, and only those, have equal hashes: short ones, ones that share their first eights, long and colliding ones."""
+    rng = random.Random(1)
+    words = ["a", "a\x00", "\x00", "\x00\x00", "b", "aa", "a" * 7, "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 256, "a" * 257, "x" * 8 + "y", "x" * 8 + "z", "\u00e9", "\x1c", "x\x1fy", thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), thue_morse(256, "a", "b"), thue_morse(256, "b", "a")]
+    words += ["".join(rng.choices("abcdef", k=rng.randint(1, 40))) for _ in range(3000)]
+    words += [w.upper() for w in words[:400]]
+    rng.shuffle(words)
+    text = "".join(w + rng.choice([" ", "\n", "\t \x0b", "\r\x0c"]) for w in words)
+    plain = words_of(text)
+    assert plain == [w.encode().lower() for w in words]
+    hashes = word_hashes(text).tolist()
+    assert len(hashes) == len(words) and len(set(hashes)) == len(set(plain)) == len(set(zip(plain, hashes)))
+    assert len(word_hashes("")) == 0 and len(word_hashes(" \n")) == 0
+
+
 def test_exact_sets():
     texts = ["A b c d e", "a B c d e f", "x", "", "a b", "b a", "a b c d e a b c d"]
     for k in (1, 2, 4, 5):
