@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import OrderedDict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from scorelake.operators.grouping import components
 
-from .shared import in_bitmap, join_entries, materialize, ranked, salted, text_or_empty
+from .shared import in_bitmap, join_entries, materialize, salted, text_or_empty
 from .words import exact_sets, mixed, shingle_hashes, word_hashes, words_of
 
 #: Sets with one key that are paired directly; beyond, the key is hot.
@@ -38,6 +38,8 @@ SMALL = 32
 BLOCK = 256
 #: Growth of a band's sizes, and the share of H that is spare.
 GROWTH, SPARE = 1.4, 0.1
+#: The same growth, and segments for each shingle of a band's smallest sets, where sets are partitioned anew.
+NARROW, FINE = 1.15, 8
 #: Classes with one id at most, among n texts about n**2 / 2**65 of them; and texts that are compared with one at a time.
 MOST_CLASHING, TOGETHER = 1 << 20, 64
 #: Classes that a task remembers, so as not to send their keys again.
@@ -55,6 +57,8 @@ class Rule:
     den: int
     #: Bits of a class's id; texts of different words with one id get others.
     class_bits: int = 64
+    #: Whether sets are partitioned anew, into FINE segments.
+    fine: bool = False
 
     def most_apart(self, a, b):
         """The largest difference of two linked sets of sizes a and b."""
@@ -88,7 +92,7 @@ def allocation(low: int, apart: int) -> tuple[int, int, int]:
         return 1, 0, 0
     best = None
     for deleted in range(4):
-        for segments in range(max(1, deleted), 2 * apart + 40):
+        for segments in range(max(1, deleted, apart - deleted), 2 * apart + 40):
             spare = segments + deleted - apart - 1
             if spare < 0:
                 continue
@@ -113,9 +117,10 @@ class Bands:
         """Bands in which a set of that size may be the smaller or the larger of a linked pair."""
         while not self.all or self.all[-1].high < n:
             low = self.all[-1].high + 1 if self.all else 1
-            high = max(low, int(low * GROWTH))
+            high = max(low, int(low * (NARROW if self.rule.fine else GROWTH)))
             apart = self.rule.most_apart(high, high * self.rule.den // self.rule.num)
-            self.all.append(Band(len(self.all), low, high, *allocation(low, apart)))
+            parts = (FINE * low + apart, 0, FINE * low - 1) if self.rule.fine else allocation(low, apart)
+            self.all.append(Band(len(self.all), low, high, *parts))
         least = -(-self.rule.num * n // self.rule.den)
         found = []
         for band in reversed(self.all):
@@ -386,11 +391,29 @@ def texts_of(wanted: DataFrame, df: DataFrame, text_col: str = "text") -> DataFr
     return materialize(rows.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h", "left_semi"), "ngram-texts")
 
 
-def compared_in_blocks(members: DataFrame, df: DataFrame, rule: Rule, text_col: str = "text") -> DataFrame:
-    """Links (u, v) that join different components inside a cluster. members: cluster, d, root, n, h."""
-    place = F.col("n") * 1024 + F.shiftrightunsigned("d", 54)
-    members = ranked(members.withColumn("_place", place), ["cluster"], "_place", ["d"], "_rank")
-    members = materialize(members.withColumn("block", F.floor(F.col("_rank") / BLOCK).cast("long")).drop("_place", "_rank"), "ngram-members")
+def unsettled(star: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, d, root, n, h) of the classes that meet in hot keys and are in more than one component of links."""
+    roots = components(links).withColumnRenamed("node", "d")
+    members = components(star).withColumnsRenamed({"node": "d", "root": "cluster"})
+    members = members.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
+    open_ = members.groupBy("cluster").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1")
+    members = join_entries(members, open_.select("cluster", "size"), ["cluster"], "size", classes.count()).drop("size")
+    return materialize(members.join(classes.select("d", "n", "h"), "d"), "ngram-unsettled")
+
+
+def compared_in_blocks(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links (u, v) that join different components inside a cluster. members: see `unsettled`; texts: h, text.
+
+    A cluster is cut by the sizes of sets, and by the hashes of their ids, into blocks of about BLOCK; two blocks meet unless their
+    sizes are too far apart, or both are in one component.
+    """
+    kind = F.floor(F.log("n") / max(0.05, math.log(rule.den / rule.num))).cast("long")
+    members = members.withColumn("kind", kind)
+    sizes = members.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("size"))
+    cut = F.greatest(F.ceil(F.log2(F.col("size") / BLOCK)), F.lit(0)).cast("int")
+    found = join_entries(members, sizes, ["cluster", "kind"], "size", members.count())
+    block = F.pmod(F.xxhash64("d"), F.pow(F.lit(2), cut).cast("long"))
+    members = materialize(found.withColumn("block", F.col("kind") * (1 << 32) + block).drop("size", "kind"), "ngram-members")
     blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     a, b = blocks.alias("a"), blocks.alias("b")
     meets = (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") <= F.col("b.block"))
@@ -398,7 +421,7 @@ def compared_in_blocks(members: DataFrame, df: DataFrame, rule: Rule, text_col:
     fits = rule.den * F.col("a.high") >= rule.num * F.col("b.low")
     tasks = a.join(b, meets & open_ & fits).select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     dealt = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(members, ["cluster", "block"])
-    dealt = dealt.join(texts_of(members.select("h"), df, text_col), "h")
+    dealt = dealt.join(texts, "h")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = _forest(exact_sets(pdf["text"].tolist(), rule.k), pdf["root"].to_numpy(), pdf["block"].to_numpy(), rule)
@@ -461,6 +484,10 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return components_of(df, Rule(k, num, den), id_col, text_col)
 
 
+def _with(pairs: DataFrame, star: DataFrame) -> DataFrame:
+    return pairs.unionByName(star.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
+
+
 def components_of(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(df, text_col)
     slim = df.select(df[id_col].cast("long").alias("id"), text_key(text).alias("h"), text.alias("text"))
@@ -475,15 +502,18 @@ def components_of(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
         raise ValueError("classes of texts can't be told apart by 128 bits")
     pairs, hot = candidates(df, rule, text_col, clashing)
     star = materialize(stars(hot), "ngram-stars")
-    smaller = star.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    links = materialize(verified(pairs.unionByName(smaller).distinct(), classes, df, rule, text_col), "ngram-links")
+    links = materialize(verified(_with(pairs, star), classes, df, rule, text_col), "ngram-links")
     if star.take(1):
-        roots = components(links)
-        members = components(star).withColumnsRenamed({"node": "d", "root": "cluster"})
-        members = members.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-        unsettled = members.groupBy("cluster").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cluster")
-        members = members.join(unsettled, "cluster").join(classes.select("d", "n", "h"), "d")
-        links = links.unionByName(compared_in_blocks(materialize(members, "ngram-unsettled"), df, rule, text_col))
+        members = unsettled(star, links, classes)
+        if members.take(1):
+            texts = texts_of(members, df, text_col)
+            pairs, hot = candidates(texts, replace(rule, fine=True), "text", clashing)
+            star = materialize(stars(hot), "ngram-stars")
+            links = materialize(links.unionByName(verified(_with(pairs, star), classes, texts, rule)), "ngram-links")
+            if star.take(1):
+                members = unsettled(star, links, classes)
+                if members.take(1):
+                    links = links.unionByName(compared_in_blocks(members, texts, rule))
     roots = components(links).withColumnRenamed("node", "d")
     classes = classes.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))

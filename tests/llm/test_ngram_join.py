@@ -127,6 +127,26 @@ def test_hot_keys(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == brute(rows, g.Rule(4, 85, 100))
 
 
+def test_form_letters(spark, monkeypatch):
+    """Texts of which most is the same, but too little for a link, and some families that are linked: rare shingles tell, no blocks are compared."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    form = [word() for _ in range(80)]
+    rows = []
+    for k in range(90):
+        own = [word() for _ in range(20)]
+        for copy in range(3 if k % 15 == 0 else 1):
+            rows.append((10 * k + copy, " ".join([*form, *own, *(["extra"] * copy)])))
+    monkeypatch.setattr(g, "SMALL", 8)
+    compared = []
+    monkeypatch.setattr(g, "compared_in_blocks", lambda members, texts, rule: compared.append(members.count()) or members.selectExpr("d u", "d v").limit(0))
+    deeper = []
+    monkeypatch.setattr(g, "unsettled", lambda *a, real=g.unsettled: deeper.append(real(*a)) or deeper[-1])
+    out = g.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == brute(rows, g.Rule(4, 85, 100))
+    assert deeper and deeper[0].count() > 50 and not compared
+
+
 def test_one_stays(spark):
     rows = corpus(4, 120)
     names = "_of _hash _id _text _rank row id h rank component_id component_class gone gone_h".split()
@@ -149,7 +169,7 @@ def test_nothing(spark):
 
 
 def test_capacity_exceeds_the_difference():
-    for rule in (g.Rule(4, 85, 100), g.Rule(5, 80, 100)):
+    for rule in (g.Rule(4, 85, 100), g.Rule(5, 80, 100), g.Rule(4, 85, 100, fine=True)):
         bands = g.Bands(rule)
         bands.of(50_000)
         low = 1
@@ -161,9 +181,10 @@ def test_capacity_exceeds_the_difference():
 
 
 def test_a_link_shares_a_key_or_is_hot():
-    rng, rule = np.random.default_rng(1), g.Rule(4, 85, 100)
-    bands = g.Bands(rule)
-    for _ in range(400):
+    rng = np.random.default_rng(1)
+    for k in range(800):
+        rule = g.Rule(4, 85, 100) if k % 2 else g.Rule(4, 85, 100, fine=True)
+        bands = g.Bands(rule)
         n = int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         drop = int(rng.integers(0, rule.most_apart(len(a), len(a)) + 2))
