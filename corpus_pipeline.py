@@ -15,7 +15,7 @@ from scorelake.llm.mixing import mixed_documents
 from scorelake.llm.ngram_join import one_of_each_component
 from scorelake.llm.packing import packed
 from scorelake.llm.quality import accepted
-from scorelake.llm.shared import shared_folder
+from scorelake.sources.tables import delete, scratch, shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each result on shared files."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over the documents of sf_dir, each result on shared files; those of all but the last are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_folder(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

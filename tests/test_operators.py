@@ -278,6 +278,19 @@ def test_shared_folder_setting(spark):
     assert df.count() == 5 and spark.conf.get("spark.checkpoint.dir")
 
 
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from scorelake.sources.tables import materialize, scratch, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        materialize(spark.range(5), "gone").write.parquet(str(tmp_path / "kept"))
+        assert set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) == before and spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
 def test_pages_keep_all_symbols_of_uneven_voices(spark, tmp_path):
     """A hot user, and users with few events, in the same documents."""
     from scorelake.plans import catalog
