@@ -540,7 +540,22 @@ def _pages(spark, sf_dir):
     return s.withColumns({"new_line": new_line, "new_page": new_line & (F.col("system_no") == 0) & (F.col("page_no") > 0) & (F.col("voice") == 0), "chord_pos": F.lit(0)}).drop("_first", "clef_no", "cents")
 
 
-@query()
+@query(
+    f"""{SYM}, v AS (SELECT *, staff_id // 10 AS doc_id, staff_id % 10 AS voice FROM seg), z AS (SELECT doc_id, voice, count(*) AS n FROM v GROUP BY 1, 2),
+    pg AS (SELECT doc_id, CAST(least(ceil(max(n) / 40.0), greatest(floor(min(n) / 2.0), 1)) AS bigint) AS pages FROM z GROUP BY 1),
+    h AS (SELECT v.*, (seq - 1) * 2 * pages // n AS half FROM v JOIN z USING (doc_id, voice) JOIN pg USING (doc_id)),
+    p AS (SELECT * EXCLUDE (seq, measure_no, clef_no), half // 2 AS page_no, half % 2 AS system_no, row_number() OVER (PARTITION BY doc_id, half // 2, voice ORDER BY half % 2, seq) AS seq FROM h),
+    m AS (SELECT *, sum(CAST(kind = 'barline' AS int)) OVER w AS measure_no, sum(CAST(kind = 'clef' AS int)) OVER w AS clef_no FROM p WINDOW w AS (PARTITION BY doc_id, page_no, voice ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, last_value(alter_in IGNORE NULLS) OVER (PARTITION BY doc_id, page_no, voice, measure_no, clef_no, step, octave ORDER BY seq ROWS UNBOUNDED PRECEDING) AS c,
+          coalesce(max(fifths) OVER (PARTITION BY doc_id, page_no, voice, clef_no), 0) AS k FROM m),
+    a AS (SELECT *, CASE WHEN kind = 'note' THEN coalesce(c, {KEY_SQL.format(k="k", s="step")}) END AS sounding, row_number() OVER (PARTITION BY doc_id, voice ORDER BY page_no, system_no, seq) AS s FROM c),
+    d AS (SELECT doc_id, voice, fifths AS best FROM (SELECT doc_id, voice, fifths, count(*) AS n, row_number() OVER (PARTITION BY doc_id, voice ORDER BY count(*) DESC, min(s)) AS r FROM a WHERE kind = 'clef' GROUP BY 1, 2, 3) WHERE r = 1 AND n >= 2),
+    e AS (SELECT a.* EXCLUDE (fifths), CASE WHEN kind = 'clef' THEN coalesce(best, fifths) ELSE fifths END AS fifths FROM a LEFT JOIN d USING (doc_id, voice)),
+    f AS (SELECT *, lag(sign) OVER q AS ps, lag(fifths) OVER q AS pf, row_number() OVER q AS r FROM e WINDOW q AS (PARTITION BY doc_id, voice, kind = 'clef' ORDER BY s)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, voice, kind = 'time' ORDER BY s) AS tr FROM f WHERE NOT (kind = 'clef' AND r > 1 AND ps = sign AND pf = fifths)),
+    x AS (SELECT *, sum(CAST(kind <> 'barline' AS int)) OVER (PARTITION BY doc_id, voice, page_no, system_no, measure_no) AS nn FROM t WHERE kind <> 'time' OR tr = 1)
+    SELECT doc_id, voice, CAST(row_number() OVER (PARTITION BY doc_id, voice ORDER BY page_no, system_no, s) AS int) AS seq, kind, sign, fifths, step, octave, CAST(sounding AS int) AS alter, ticks FROM x WHERE nn > 0"""
+)
 def page_assembly(spark, sf_dir):
     return document.assembled(_pages(spark, sf_dir)).select("doc_id", "voice", "seq", "kind", "sign", "fifths", "step", "octave", "alter", "ticks")
 
