@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import music
 from scorelake.operators import rules
+from scorelake.sources.tables import materialize
 
 #: Fixed value: the first line of a document.
 DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -44,7 +45,9 @@ def assembled(symbols: DataFrame, doc: str = "doc_id") -> DataFrame:
     page = (doc, "page_no", "voice")
     symbols = rules.with_sounding_alters(in_document_order(symbols, page, ("system_no", "seq")), page)
     symbols = symbols.withColumn("alter", F.when(F.col("kind") == "note", F.col("alter_out")).otherwise(F.col("alter"))).drop("alter_out", "carried", "key", "clef_no")
-    return in_document_order(merged_and_cleaned(voices_of_first_page(in_document_order(symbols), doc)), (doc, "voice"), ("page_no", "system_no", "seq"))
+    # read three times: for the voices of pages, for the dominant keys and for the symbols themselves
+    symbols = materialize(in_document_order(symbols, (doc, "voice")), "symbols-of-pages")
+    return in_document_order(merged_and_cleaned(voices_of_first_page(symbols, doc), (doc, "voice")), (doc, "voice"))
 
 
 def pages_in_order(order: DataFrame, pages: DataFrame) -> DataFrame:
@@ -82,9 +85,8 @@ def measures(symbols: DataFrame, doc: str = "doc_id") -> DataFrame:
     keys = (doc, "voice")
     place = ("page_no", "system_no", "measure_no")
     for kind, values in (("clef", ("sign", "fifths")), ("time", ("num", "den"))):
-        only = symbols.filter(F.col("kind") == kind)
-        only = rules.with_emitted_attributes(only, values, "new_line", keys).filter("emit").drop("emit")
-        symbols = symbols.filter(F.col("kind") != kind).unionByName(only)
+        own = symbols.withColumn("_own", F.col("kind") == kind)
+        symbols = rules.with_emitted_attributes(own, values, "new_line", (*keys, "_own")).filter("emit or not _own").drop("emit", "_own")
     symbols = symbols.filter("kind <> 'barline'")
     row = F.struct("seq", "chord_pos", "kind", "step", "octave", "alter", "base", "modifier", "ticks")
     clef = F.struct(F.col("sign").alias("sign"), music.clef_line(F.col("sign")).alias("line"))

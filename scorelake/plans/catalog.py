@@ -534,10 +534,8 @@ def _pages(spark, sf_dir):
     s = s.select(doc, voice, *(c for c in s.columns if c != "staff_id")).join(sizes.join(pages, "doc_id"), ["doc_id", "voice"])
     half = F.expr("(seq - 1) * 2 * pages div n")
     s = s.withColumns({"page_no": F.floor(half / 2), "system_no": half % 2}).drop("n", "pages")
-    first = s.groupBy("doc_id", "voice", "page_no", "system_no").agg(F.min("measure_no").alias("_first"))
-    s = s.join(first, ["doc_id", "voice", "page_no", "system_no"])
-    new_line = F.col("measure_no") == F.col("_first")
-    return s.withColumns({"new_line": new_line, "new_page": new_line & (F.col("system_no") == 0) & (F.col("page_no") > 0) & (F.col("voice") == 0), "chord_pos": F.lit(0)}).drop("_first", "clef_no", "cents")
+    new_line = F.col("measure_no") == F.min("measure_no").over(Window.partitionBy("doc_id", "voice", "page_no", "system_no"))
+    return s.withColumns({"new_line": new_line, "new_page": new_line & (F.col("system_no") == 0) & (F.col("page_no") > 0) & (F.col("voice") == 0), "chord_pos": F.lit(0)}).drop("clef_no", "cents")
 
 
 @query(
