@@ -34,8 +34,8 @@ from .words import exact_sets, mixed, shingle_hashes, word_hashes, words_of
 
 #: Sets with one key that are paired directly; beyond, the key is hot.
 SMALL = 32
-#: Sets in a block of the last comparison.
-BLOCK = 256
+#: Sets in a block of the last comparison, and in a cluster that is partitioned anew before.
+BLOCK, LARGE = 256, 8192
 #: Growth of a band's sizes, and the share of H that is spare.
 GROWTH, SPARE = 1.4, 0.1
 #: The same growth, and segments for each shingle of a band's smallest sets, where sets are partitioned anew.
@@ -392,12 +392,12 @@ def texts_of(wanted: DataFrame, df: DataFrame, text_col: str = "text") -> DataFr
 
 
 def unsettled(star: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cluster, d, root, n, h) of the classes that meet in hot keys and are in more than one component of links."""
+    """(cluster, size, d, root, n, h) of the classes that meet in hot keys and are in more than one component of links."""
     roots = components(links).withColumnRenamed("node", "d")
     members = components(star).withColumnsRenamed({"node": "d", "root": "cluster"})
     members = members.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     open_ = members.groupBy("cluster").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1")
-    members = join_entries(members, open_.select("cluster", "size"), ["cluster"], "size", classes.count()).drop("size")
+    members = join_entries(members, open_.select("cluster", "size"), ["cluster"], "size", classes.count())
     return materialize(members.join(classes.select("d", "n", "h"), "d"), "ngram-unsettled")
 
 
@@ -408,7 +408,7 @@ def compared_in_blocks(members: DataFrame, texts: DataFrame, rule: Rule) -> Data
     sizes are too far apart, or both are in one component.
     """
     kind = F.floor(F.log("n") / max(0.05, math.log(rule.den / rule.num))).cast("long")
-    members = members.withColumn("kind", kind)
+    members = members.drop("size").withColumn("kind", kind)
     sizes = members.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("size"))
     cut = F.greatest(F.ceil(F.log2(F.col("size") / BLOCK)), F.lit(0)).cast("int")
     found = join_entries(members, sizes, ["cluster", "kind"], "size", members.count())
@@ -505,15 +505,16 @@ def components_of(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
     links = materialize(verified(_with(pairs, star), classes, df, rule, text_col), "ngram-links")
     if star.take(1):
         members = unsettled(star, links, classes)
-        if members.take(1):
+        largest = members.agg(F.max("size")).first()[0]
+        if largest:
             texts = texts_of(members, df, text_col)
-            pairs, hot = candidates(texts, replace(rule, fine=True), "text", clashing)
-            star = materialize(stars(hot), "ngram-stars")
-            links = materialize(links.unionByName(verified(_with(pairs, star), classes, texts, rule)), "ngram-links")
-            if star.take(1):
-                members = unsettled(star, links, classes)
-                if members.take(1):
-                    links = links.unionByName(compared_in_blocks(members, texts, rule))
+            if largest > LARGE:
+                pairs, hot = candidates(texts, replace(rule, fine=True), "text", clashing)
+                star = materialize(stars(hot), "ngram-stars")
+                links = materialize(links.unionByName(verified(_with(pairs, star), classes, texts, rule)), "ngram-links")
+                members = unsettled(star, links, classes) if star.take(1) else members.limit(0)
+            if members.take(1):
+                links = links.unionByName(compared_in_blocks(members, texts, rule))
     roots = components(links).withColumnRenamed("node", "d")
     classes = classes.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))

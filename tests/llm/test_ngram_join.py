@@ -117,9 +117,11 @@ def test_exact_sets():
     assert exact_sets([], 4) == []
 
 
-def test_hot_keys(spark, monkeypatch):
-    """With tiny limits, pivots and blocks do the work."""
+@pytest.mark.parametrize("large", [7, 10_000])
+def test_hot_keys(spark, monkeypatch, large):
+    """With tiny limits, pivots and blocks do the work, with and without a partition anew."""
     monkeypatch.setattr(g, "SMALL", 2)
+    monkeypatch.setattr(g, "LARGE", large)
     monkeypatch.setattr(g, "BLOCK", 7)
     rows = corpus(3, 150)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -138,6 +140,7 @@ def test_form_letters(spark, monkeypatch):
         for copy in range(3 if k % 15 == 0 else 1):
             rows.append((10 * k + copy, " ".join([*form, *own, *(["extra"] * copy)])))
     monkeypatch.setattr(g, "SMALL", 8)
+    monkeypatch.setattr(g, "LARGE", 40)
     compared = []
     monkeypatch.setattr(g, "compared_in_blocks", lambda members, texts, rule: compared.append(members.count()) or members.selectExpr("d u", "d v").limit(0))
     deeper = []
