@@ -11,6 +11,7 @@ from .licenses import license_spans
 from .mixing import mixed_positions
 from .ngram_join import jaccard_components
 from .packing import packed
+from .phrases import collocations
 from .quality import quality_scores
 from .secrets import secret_spans
 from .sharding import assign_shards
@@ -60,6 +61,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_source_mixing": op2_source_mixing,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL = {
@@ -78,4 +84,24 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        grams AS (
+          SELECT lang, n, ws[i:i + n - 1] AS ws
+          FROM (SELECT lang, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS lengths(n))),
+        f AS MATERIALIZED (SELECT lang, n, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+        candidates AS (SELECT * FROM f WHERE n > 1),
+        parts AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k + 1:n], ' ') AS q FROM candidates c JOIN (VALUES (1), (2)) AS firsts(k) ON k < n),
+        cuts AS (
+          SELECT c.lang, c.phrase, c.n AS size, c.ws, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+          FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q),
+        weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS longer FROM candidates, (VALUES (1), (2)) AS places(i) WHERE n = 3 GROUP BY ALL),
+        kept AS (SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase AND w.size = 2 WHERE longer IS NULL OR 100 * longer < 50 * w.a),
+        totals AS (SELECT lang, count(*) AS n FROM grams WHERE n = 1 GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n::BIGINT AS n, score::BIGINT AS score
+        FROM kept JOIN totals t USING (lang) QUALIFY rank <= 2000""",
 }
