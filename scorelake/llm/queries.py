@@ -12,6 +12,7 @@ from .mixing import mixed_positions
 from .ngram_join import jaccard_components
 from .packing import packed
 from .phrases import collocations
+from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .secrets import secret_spans
 from .sharding import assign_shards
@@ -61,6 +62,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
@@ -84,6 +90,33 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_conversation_trie": r"""
+        WITH turns AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+          FROM conversations WHERE conv_id IS NOT NULL),
+        bits AS (SELECT c AS conv_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda crc, code: list_reduce(list_prepend(xor(crc, code), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+          FROM (SELECT DISTINCT conv_id AS c FROM turns)),
+        convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM bits),
+        chain AS (
+          SELECT c.conv_id, 0 AS own, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE place < h
+          UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t USING (conv_id) WHERE place >= h),
+        steps AS (SELECT conv_id, own, place, role, text, row_number() OVER w AS depth, sha256(string_agg(concat(length(role), ':', role, length(text), ':', text), '' ORDER BY own, place) OVER w) AS key
+          FROM chain WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)),
+        seen AS MATERIALIZED (
+          SELECT conv_id, depth::BIGINT AS depth, key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM steps
+          UNION ALL SELECT conv_id, 0, '', 0, NULL FROM convs),
+        sizes AS (SELECT conv_id, max(depth) AS size FROM seen GROUP BY conv_id),
+        nodes AS MATERIALIZED (
+          SELECT depth, key, any_value(above) AS above, any_value(words) AS words, min(s.conv_id) AS conv_id, count(*) AS n_convs, bool_and(size = depth) AS leaf,
+                 sha256(coalesce(string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id) FILTER (size = depth), '')) AS ends_sha256
+          FROM seen s JOIN sizes USING (conv_id) GROUP BY depth, key),
+        pairs AS (SELECT DISTINCT a.depth AS depth, a.key AS key, b.depth AS below, b.key AS below_key FROM seen a JOIN seen b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+        sums AS (SELECT p.depth, p.key, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, (count(*) FILTER (leaf))::BIGINT AS n_leaves, (count(*) FILTER (below = p.depth + 1))::BIGINT AS n_children
+          FROM pairs p JOIN nodes b ON b.depth = below AND b.key = below_key GROUP BY p.depth, p.key)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON s.depth = n.depth AND s.key = n.key LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.key = n.above""",
     "op13_phrase_collocations": r"""
         WITH pieces AS (
           SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
