@@ -16,6 +16,7 @@ from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .secrets import secret_spans
 from .sharding import assign_shards
+from .topk_search import exact_top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_exact_top_k": op11_exact_top_k,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
@@ -90,6 +96,11 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT q.vec_id AS query_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.c, x.c) DESC, x.vec_id))::INTEGER AS rank, x.vec_id, list_inner_product(q.c, x.c)::BIGINT AS score
+        FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id QUALIFY rank <= 10""",
     "op12_conversation_trie": r"""
         WITH turns AS (
           SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n,
