@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions import geometry, music, tokens
-from scorelake.operators import codec, document, ranking, raster, spatial, staffs
+from scorelake.operators import codec, dewarp, document, ranking, raster, spatial, staffs
 from scorelake.plans.catalog import BOX, SYM, TOKENS, note_tokens, query, token_strings
 from scorelake.plans.derived import boxes, symbols, table
 from scorelake.sources import jobs
@@ -339,6 +339,62 @@ def voted_classes(spark, sf_dir):
     return raster.averaged_classes(p)
 
 
+# ---- staffs: a page of 260 by 48 for each supplier, with a bent staff of five lines
+
+STAFFS = """sp AS (SELECT s_suppkey AS page_id, range * 10 AS x, 16.0 + abs((range * 10 + s_suppkey * 37) % 160 - 80) / 10.0 + s_suppkey % 3 AS mid FROM supplier, range(26)),
+    st AS (SELECT s_suppkey AS page_id, y, x, CASE WHEN (y - (16 + abs((x + s_suppkey * 37) % 160 - 80) // 10 + s_suppkey % 3)) IN (-8, -4, 0, 4, 8) THEN 0 ELSE 255 - (x * 7 + y * 3 + s_suppkey) % 40 END AS v FROM supplier, range(48) a(y), range(260) b(x))"""
+
+
+def _bent_staffs(spark, sf_dir):
+    """(pixels, points) of the staffs."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    page, y, x = F.col("page_id"), F.col("y"), F.col("x")
+    wave = F.abs((x + page * 37) % 160 - 80)
+    pixels = rows.withColumn("y", side(48)).withColumn("x", side(260))
+    pixels = pixels.withColumn("v", F.when((y - (16 + F.floor(wave / 10) + page % 3)).isin(-8, -4, 0, 4, 8), F.lit(0).cast("long")).otherwise(255 - (x * 7 + y * 3 + page) % 40))
+    points = rows.withColumn("x", side(26)).withColumn("x", x * 10).withColumn("mid", F.lit(16.0) + wave / 10.0 + page % 3)
+    return pixels, points.select("page_id", "x", F.transform(F.array(*map(F.lit, (-8.0, -4.0, 0.0, 4.0, 8.0))), lambda d: F.col("mid") + d).alias("y"))
+
+
+@query(
+    f"""WITH {STAFFS}, cols AS (SELECT page_id, k * 80 + 2 AS x FROM (SELECT DISTINCT page_id FROM sp), range(4) r(k) WHERE k * 80 + 2 < 260),
+    mid AS (SELECT c.page_id, c.x, arg_min(mid, (abs(sp.x - c.x), sp.x)) AS mid FROM cols c JOIN sp ON sp.page_id = c.page_id AND abs(sp.x - c.x) <= 50 GROUP BY 1, 2),
+    bend AS (SELECT page_id, x, trunc(mid - first_value(mid) OVER (PARTITION BY page_id ORDER BY x)) AS bend FROM mid),
+    pts AS (SELECT page_id, band, x, 2 + 8 * band + bend AS y FROM bend, range(6) r(band) WHERE 2 + 8 * band < 46 AND x BETWEEN 10 AND 250 AND 2 + 8 * band + bend BETWEEN 10 AND 38),
+    lines AS (SELECT *, floor(avg(y) OVER w) AS t FROM pts WINDOW w AS (PARTITION BY page_id, band) QUALIFY count(*) OVER w > 2),
+    one AS (SELECT * FROM lines QUALIFY band = min(band) OVER (PARTITION BY page_id, t)),
+    ends AS (SELECT page_id, t, x, y FROM one UNION ALL SELECT page_id, t, 0, arg_min(y, x) FROM one GROUP BY 1, 2 UNION ALL SELECT page_id, t, 260, arg_max(y, x) FROM one GROUP BY 1, 2),
+    grid AS (SELECT a.page_id, a.t, b.x FROM (SELECT DISTINCT page_id, t FROM ends) a JOIN (SELECT DISTINCT page_id, x FROM ends) b USING (page_id)),
+    known AS (SELECT g.page_id, g.t, g.x, e.y, last_value(e.x IGNORE NULLS) OVER w AS ax, last_value(e.y IGNORE NULLS) OVER w AS ay, first_value(e.x IGNORE NULLS) OVER v AS bx, first_value(e.y IGNORE NULLS) OVER v AS by_
+      FROM (SELECT g.*, e.x AS ex FROM grid g LEFT JOIN ends e USING (page_id, t, x)) g LEFT JOIN ends e ON e.page_id = g.page_id AND e.t = g.t AND e.x = g.ex
+      WINDOW w AS (PARTITION BY g.page_id, g.t ORDER BY g.x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY g.page_id, g.t ORDER BY g.x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    nodes AS (SELECT page_id, t, x, coalesce(y, ay + (by_ - ay) * (x - ax) / (bx - ax)) AS s FROM known
+      UNION ALL SELECT page_id, t, x, t FROM (SELECT DISTINCT page_id, x FROM ends), (VALUES (0.0::DOUBLE), (48.0::DOUBLE)) e(t)),
+    c1 AS (SELECT *, lead(t) OVER d AS t1, lead(s) OVER d AS sb FROM nodes WINDOW d AS (PARTITION BY page_id, x ORDER BY t)),
+    c2 AS (SELECT *, lead(x) OVER a AS x1, lead(s) OVER a AS sr, lead(sb) OVER a AS sa FROM c1 WINDOW a AS (PARTITION BY page_id, t ORDER BY x)),
+    cells AS (SELECT * FROM c2 WHERE t1 IS NOT NULL AND x1 IS NOT NULL),
+    placed AS (SELECT p.page_id, p.y, p.x, CASE WHEN (p.y - t) * (x1 - c.x) < (p.x - c.x) * (t1 - t)
+      THEN s + (sr - s) / (x1 - c.x) * (p.x - c.x) + (sa - sr) / (t1 - t) * (p.y - t) ELSE s + (sa - sb) / (x1 - c.x) * (p.x - c.x) + (sb - s) / (t1 - t) * (p.y - t) END AS f
+      FROM st p JOIN cells c ON c.page_id = p.page_id AND p.x >= c.x AND p.x < x1 AND p.y >= t AND p.y < t1),
+    new AS (SELECT a.page_id, a.y, a.x, CAST(floor(coalesce(u.v, 255) * (1 - (f - floor(f))) + coalesce(w.v, 255) * (f - floor(f)) + 1e-9) AS bigint) AS v
+      FROM placed a LEFT JOIN st u ON u.page_id = a.page_id AND u.x = a.x AND u.y = floor(f) LEFT JOIN st w ON w.page_id = a.page_id AND w.x = a.x AND w.y = floor(f) + 1)
+    SELECT p.page_id, p.y, CAST(sum(coalesce(n.v, p.v)) AS bigint) AS total, CAST(sum(coalesce(n.v, p.v) * p.x) AS bigint) AS moment, min(coalesce(n.v, p.v)) AS least FROM st p LEFT JOIN new n USING (page_id, y, x) GROUP BY 1, 2"""
+)
+def dewarped_staffs(spark, sf_dir):
+    out = dewarp.straightened(*_bent_staffs(spark, sf_dir))
+    return out.groupBy("page_id", "y").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("moment"), F.min("v").cast("long").alias("least"))
+
+
+@query()
+def transcriber_images(spark, sf_dir):
+    """Canvases of 32 rows and 128 columns of the bent staffs; no SQL, as each has five resampled steps: tests/test_dewarp.py compares with plain code."""
+    pixels, points = _bent_staffs(spark, sf_dir)
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit(10.0).alias("x1"), F.lit(2.0).alias("y1"), F.lit(240.0).alias("x2"), F.lit(46.0).alias("y2"), F.lit(4.0).alias("unit"))
+    out = dewarp.staff_images(pixels, points, own, 32, 128)
+    return out.groupBy("page_id", "y").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("moment"))
+
+
 # ---- a decoder's steps
 
 

@@ -243,28 +243,6 @@ def test_pixel_operators(spark):
     assert image(out, 0).min() == 255 and (image(out, 1) == inner).all()
 
 
-def test_a_warped_staff_is_straightened(spark):
-    """Five lines on a slope, and a level image: after it each line is in one row; the canvas holds the staff in its middle."""
-    h, w = 100, 330
-    page = np.full((h, w), 255)
-    slope = lambda x: x / 20
-    for x in range(w):
-        for i in range(5):
-            page[int(round(30 + 8 * i + slope(x))), x] = 0
-    points = spark.createDataFrame([(0, float(x), [30 + 8 * i + slope(x) for i in range(5)]) for x in range(0, w, 10)], "page_id long, x double, y array<double>")
-    df = pixels(spark, page, page)  # the second has no points
-    out = raster.straightened(df, points)
-    level = image(out, 0)
-    for i in range(5):
-        row = round(30 + 8 * i + np.mean([slope(2 + 80 * k) for k in range(5)]))
-        assert (level[row - 1 : row + 2].min(axis=0) < 200).mean() > 0.98
-    assert (level[:28] > 200).mean() > 0.99 and (image(out, 1) == page).all()
-    region = spark.createDataFrame([(0, 20, 20, 300, 85)], "page_id long, x1 long, y1 long, x2 long, y2 long")
-    canvas = image(raster.staff_images(df, points, region, 8.0, 128, 320), 0)
-    assert canvas.shape == (128, 320) and canvas[:, 281:].min() == 255 and canvas[:31].min() == 255 and canvas[97:].min() == 255
-    assert (canvas.min(axis=0)[:281] < 200).all()
-
-
 def test_kernels():
     assert raster.on_canvas(np.zeros((10, 20), np.uint8)).shape == (128, 1280)
     assert raster.resized(np.full((10, 10), 7, np.uint8), 25, 5).tolist() == np.full((25, 5), 7).tolist()
