@@ -255,14 +255,14 @@ def split_heads(spark, sf_dir):
 
 
 @query(
-    f"""{SYM}, l AS (SELECT staff_id, seq, [CASE WHEN cents % (i + 3) <> 0 THEN CAST(100 + 20 * i + cents % 9 AS double) END FOR i IN range(5)] AS y FROM sym WHERE kind = 'note' AND cents % 4 <> 0),
+    f"""{SYM}, l AS (SELECT staff_id, seq, [CASE WHEN cents % (i + 3) <> 0 THEN CAST(100 + 20 * i + cents % 9 AS double) END FOR i IN range(5)] AS y FROM sym WHERE kind = 'note'),
     z AS (SELECT staff_id, seq, y[1] AS a, y[2] AS b, y[3] AS c, y[4] AS d, y[5] AS e FROM l)
     SELECT staff_id, seq, coalesce(a, b - 20, c - 40, d - 60, e - 80) AS y0, coalesce(b, a + 20, c - 20, d - 40, e - 60) AS y1, coalesce(c, b + 20, a + 40, d - 20, e - 40) AS y2,
       coalesce(d, c + 20, b + 40, a + 60, e - 20) AS y3, coalesce(e, d + 20, c + 40, b + 60, a + 80) AS y4 FROM z WHERE coalesce(a, b, c, d, e) IS NOT NULL"""
 )
 def filled_staff_lines(spark, sf_dir):
     line = lambda i: F.when(F.col("cents") % (i + 3) != 0, F.lit(100.0 + 20 * i) + F.col("cents") % 9)
-    s = symbols(spark, sf_dir).filter("kind = 'note' and cents % 4 <> 0").select("staff_id", "seq", F.array(*(line(i) for i in range(5))).alias("y"), F.lit(20.0).alias("unit"))
+    s = symbols(spark, sf_dir).filter("kind = 'note'").select("staff_id", "seq", F.array(*(line(i) for i in range(5))).alias("y"), F.lit(20.0).alias("unit"))
     return staffs.filled_lines(s).select("staff_id", "seq", *(F.get("y", F.lit(i)).alias(f"y{i}") for i in range(5)))
 
 
@@ -320,13 +320,13 @@ def line_masks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PIXELS}, n AS (SELECT page_id, y * 40 + x AS id, y, x FROM px WHERE v % 5 = 0 AND page_id % 4 > 0),
+    f"""WITH {PIXELS}, n AS (SELECT page_id, y * 40 + x AS id, y, x FROM px WHERE v % 5 = 0),
     e AS (SELECT a.page_id, a.id AS u, b.id AS v FROM n a JOIN n b ON a.page_id = b.page_id AND a.id <> b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     reach AS (SELECT * FROM (WITH RECURSIVE r(page_id, node, root) AS (SELECT page_id, id, id FROM n UNION SELECT e.page_id, e.v, r.root FROM r JOIN e ON e.page_id = r.page_id AND e.u = r.node) SELECT page_id, node, min(root) AS root FROM r GROUP BY 1, 2))
     SELECT n.page_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS area FROM reach JOIN n ON n.page_id = reach.page_id AND id = node GROUP BY n.page_id, root"""
 )
 def mask_regions(spark, sf_dir):
-    mask = _pixels(spark, sf_dir).filter("page_id % 4 > 0").withColumn("v", (F.col("v") % 5 == 0).cast("int"))
+    mask = _pixels(spark, sf_dir).withColumn("v", (F.col("v") % 5 == 0).cast("int"))
     return raster.region_extents(raster.regions(mask)).drop("region")
 
 
