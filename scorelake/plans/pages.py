@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions import geometry, music, tokens
-from scorelake.operators import codec, dewarp, document, ranking, raster, spatial, staffs
+from scorelake.operators import codec, dewarp, document, ranking, raster, raw_staffs, spatial, staffs
 from scorelake.plans.catalog import BOX, SYM, TOKENS, note_tokens, query, token_strings
 from scorelake.plans.derived import boxes, symbols, table
 from scorelake.sources import jobs
+from scorelake.sources.tables import materialize
 
 # ---- functions of boxes
 
@@ -395,6 +396,45 @@ def transcriber_images(spark, sf_dir):
     return out.groupBy("page_id", "y").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("moment"))
 
 
+# ---- staffs of fragments: four tracks of five lines on each page, with gaps where no item fell
+
+
+def _tracks(spark, sf_dir):
+    """(fragments, anchors, zones): 16 stretches of each line; an anchor stands where all five lines of a track are."""
+    li = table(spark, sf_dir, "lineitem")
+    spots = li.groupBy(F.floor(F.col("l_orderkey") / 100).alias("page_id"), (F.col("l_suppkey") % 4).alias("track"), (F.col("l_linenumber") % 5).cast("long").alias("line_no"), (F.col("l_partkey") % 16).alias("part")).agg(F.min("l_quantity").alias("q"), F.min("l_orderkey").alias("o"))
+    track, line, part = F.col("track"), F.col("line_no"), F.col("part")
+    spots = spots.withColumn("fragment_id", (track * 5 + line) * 16 + part)
+    fragments = spots.select("page_id", "fragment_id", (50.0 + 100 * part).alias("cx"), (100.0 + 300 * track + 20 * line + F.col("o") % 3).alias("cy"), (60.0 + F.col("q")).alias("w"), F.lit(3.0).alias("h"), (F.col("o") % 5 - 2).cast("double").alias("angle"))
+    five = spots.groupBy("page_id", "track", "part").agg(F.count(F.lit(1)).alias("n")).filter("n = 5").select("page_id", "track", "part", (part * 4 + track).alias("anchor_id"))
+    anchors = spots.join(five, ["page_id", "track", "part"]).select("page_id", "anchor_id", "line_no", "fragment_id")
+    zones = five.select("page_id", "anchor_id", (300.0 * track + 20).alias("low"), (300.0 * track + 260).alias("high"), F.lit(20.0).alias("unit"), (50.0 + 100 * part).alias("x"))
+    return fragments, anchors, zones
+
+
+@query()
+def joined_staffs(spark, sf_dir):
+    """No SQL: which staff an anchor joins depends on those before it; tests/test_raw_staffs.py has plain code."""
+    fragments, anchors, zones = _tracks(spark, sf_dir)
+    lines = materialize(raw_staffs.connected_lines(anchors, zones, fragments), "connected")
+    joined = raw_staffs.joined_anchors(anchors, lines)
+    extents = raw_staffs.staff_extents(raw_staffs.staff_lines(joined, lines), fragments)
+    return joined.groupBy("page_id", "staff_id").agg(F.count(F.lit(1)).alias("n_anchors")).join(extents, ["page_id", "staff_id"])
+
+
+@query()
+def resampled_staffs(spark, sf_dir):
+    """No SQL, as each point depends on the accepted one before it; tests/test_raw_staffs.py has plain code."""
+    fragments, anchors, zones = _tracks(spark, sf_dir)
+    lines = materialize(raw_staffs.connected_lines(anchors, zones, fragments), "connected")
+    joined = raw_staffs.joined_anchors(anchors, lines)
+    own = anchors.join(fragments, ["page_id", "fragment_id"]).join(zones.select("page_id", "anchor_id", "x", "unit"), ["page_id", "anchor_id"])
+    at = (F.col("x") - F.col("cx")) * F.tan(F.radians("angle")) + F.col("cy")
+    seeds = own.groupBy("page_id", "anchor_id", "x", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", at.alias("y")))), lambda p: p["y"]).alias("seed"))
+    out = raw_staffs.resampled(seeds.join(joined, ["page_id", "anchor_id"]), raw_staffs.staff_lines(joined, lines), fragments)
+    return out.select("page_id", "staff_id", "anchor_id", "side", "ord", "x", *(F.round(F.get("y", F.lit(i)), 6).alias(f"y{i}") for i in range(5)), F.round("angle", 6).alias("angle"))
+
+
 # ---- a decoder's steps
 
 
