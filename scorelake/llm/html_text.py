@@ -161,21 +161,27 @@ def blocks(page: str) -> list[Block]:
 def _mark_beside(found: list[Block], against: list[tuple[int, int]]) -> None:
     """Marks the blocks of containers that speak against them and hold less than most of the good text.
 
-    Without any good text, all counts that is no link; if that stands in such containers alone, what stands in the fewest, and of those in the one with most of it.
+    Without any good text, all counts that is no link. If all of it is marked then, what stands in the fewest containers, and of these the one with
+    most of it, is the text, and what holds it says nothing.
     """
     alone = [first_pass(b) for b in found]
     mass = [len(b.text) * (x == "good") for b, x in zip(found, alone, strict=True)]
     if not any(mass):
-        depths = _depths(len(found), against)
-        least = min((d for d, x in zip(depths, alone, strict=True) if x == ""), default=0)
-        mass = [max(0, len(b.text) - 2 * b.linked) * (x == "" and d == least or not least) for b, x, d in zip(found, alone, depths, strict=True)]
-        if least:
-            sums = [0, *accumulate(mass)]
-            a, b = max(against, key=lambda span: sums[span[1]] - sums[span[0]])
-            mass = [m * (a <= k < b) for k, m in enumerate(mass)]
-    sums = [0, *accumulate(mass)]
-    held = [(a, b) for a, b in against if sums[b] - sums[a] < MOST * sums[-1] or not sums[-1]]
-    for b, depth in zip(found, _depths(len(found), held), strict=True):
+        mass = [max(0, len(b.text) - 2 * b.linked) * (x == "") for b, x in zip(found, alone, strict=True)]
+
+    def marked(mass: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+        sums = [0, *accumulate(mass)]
+        held = [(a, b) for a, b in against if sums[b] - sums[a] < MOST * sums[-1] or not sums[-1]]
+        return _depths(len(found), held), held
+
+    depths, held = marked(mass)
+    least = min((d for d, m in zip(depths, mass, strict=True) if m), default=0)
+    if least:
+        mass = [m * (d == least) for m, d in zip(mass, depths, strict=True)]
+        sums = [0, *accumulate(mass)]
+        a, b = max(held, key=lambda span: sums[span[1]] - sums[span[0]])
+        depths, _ = marked([m * (a <= k < b) for k, m in enumerate(mass)])
+    for b, depth in zip(found, depths, strict=True):
         b.beside = depth > 0
 
 
