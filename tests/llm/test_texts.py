@@ -208,10 +208,21 @@ def test_secrets_planted_in_documents(spark):
         changed = text[:at] + before + key + " " + text[at:]
         start = at + len(before)
         spans = [(s, e) for s, e, k in secrets.scan(changed, model) if k == "markov"]
-        found += any(min(e, start + len(key)) - max(s, start) >= 0.8 * len(key) for s, e in spans)
+        found += any(s <= start and e >= start + len(key) for s, e in spans)
     assert found / len(docs) > 0.95
 
 
+@pytest.mark.parametrize("size, least", [(12, 0.9), (14, 0.95), (16, 0.97), (20, 0.98), (32, 0.99)])
+def test_whole_keys_are_covered(size, least):
+    """None of a key's characters stays readable, alone or in a path."""
+    model, rng = secrets.default_model(), random.Random(size)
+    for before, after in ((" ", " "), ("/config/path_to_", "/and_more")):
+        for letters in (secrets.ALPHABET[:62], secrets.ALPHABET[26:62]):
+            keys = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+            whole = sum(any(s <= len(before) and e >= len(before) + size for s, e, _ in secrets.scan(before + k + after, model)) for k in keys)
+            assert whole / 300 >= least, (before, letters)
+
+
 def test_secret_scan_is_linear():
     model = secrets.default_model(500)
 
