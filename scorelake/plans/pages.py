@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions import geometry, music, tokens
-from scorelake.operators import codec, dewarp, document, ranking, raster, raw_staffs, spatial, staffs
+from scorelake.operators import codec, dewarp, document, ranking, raster, raw_staffs, sampling, spatial, staffs
 from scorelake.plans.catalog import BOX, SYM, TOKENS, note_tokens, query, token_strings
 from scorelake.plans.derived import boxes, symbols, table
 from scorelake.sources import jobs
@@ -450,6 +450,37 @@ def generated_tokens(spark, sf_dir):
     return ranking.generated(e.select("staff_id", F.floor(F.col("k") / 8).alias("step"), token.cast("long").alias("token"), "logit", (token != 3).alias("allowed")))
 
 
+RHYTHMS, PITCHES, LIFTS = ["note-quarter", "clef-G2", "[EOS]", "|", "note-half", "clef-F4", "rest-quarter", "[PAD]"], ["note-C4", "note-E4", "note-G4", "nonote"], ["lift_null", "lift_#", "lift_b", "nonote"]
+
+
+def _logits(spark, sf_dir):
+    """Steps of three heads from the numbers of embeddings: four of each vector, and eight vectors to a staff."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    place = F.col("k") % 16
+    head = F.when(place < 8, "rhythm").when(place < 12, "pitch").otherwise("lift")
+    names = F.array(*map(F.lit, RHYTHMS + PITCHES + LIFTS))
+    step = (F.col("vec_id") % 8) * 4 + F.floor(F.col("k") / 16)
+    return e.select(F.floor(F.col("vec_id") / 8).alias("staff_id"), step.alias("step"), head.alias("head"), place.cast("long").alias("index"), F.get(names, place).alias("token"), (F.col("x").cast("double") * 8).alias("logit"))
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE * 8 AS logit, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+    l AS (SELECT vec_id // 8 AS staff_id, vec_id % 8 * 4 + k // 16 AS step, k % 16 AS place, CASE WHEN k % 16 < 8 THEN 'rhythm' WHEN k % 16 < 12 THEN 'pitch' ELSE 'lift' END AS head, {RHYTHMS + PITCHES + LIFTS}[k % 16 + 1] AS token, logit FROM e),
+    top AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY staff_id, step, head ORDER BY logit DESC, place) <= ceil(0.3 * count(*) OVER (PARTITION BY staff_id, step, head))),
+    d AS (SELECT *, logit / pow(3.5, a) - ln(-ln((('0x' || substr(sha256(concat_ws(',', 0, staff_id, step, a, head, place)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS score FROM top, range(5) r(a)),
+    t AS (SELECT staff_id, step, a, arg_max(token, score) FILTER (head = 'rhythm') AS rhythm, arg_max(token, score) FILTER (head = 'pitch') AS pitch, arg_max(token, score) FILTER (head = 'lift') AS lift FROM d GROUP BY 1, 2, 3),
+    o AS (SELECT *, coalesce(first_value(CASE WHEN a = 0 AND rhythm NOT IN ('[EOS]', '[BOS]', '[PAD]') THEN rhythm END IGNORE NULLS) OVER (PARTITION BY staff_id ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = '|', false) AS spoilt FROM t),
+    c0 AS (SELECT staff_id, step, arg_min(rhythm, CASE WHEN spoilt AND rhythm = '|' THEN a + 10 ELSE a END) AS r FROM o GROUP BY 1, 2),
+    c AS (SELECT staff_id, step, first_value(CASE WHEN r LIKE '%clef%' THEN r END IGNORE NULLS) OVER (PARTITION BY staff_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clef FROM c0),
+    f AS (SELECT o.*, (spoilt AND rhythm = '|') OR (rhythm LIKE '%clef%' AND coalesce(rhythm <> clef, false)) AS refused FROM o JOIN c USING (staff_id, step)),
+    p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY staff_id, step ORDER BY refused, CASE WHEN refused THEN -a ELSE a END) = 1),
+    n AS (SELECT *, max(CAST(rhythm = '[EOS]' AS int)) OVER (PARTITION BY staff_id ORDER BY step) AS ended FROM p)
+    SELECT staff_id, step, CAST(a AS int) AS attempt, rhythm, pitch, lift, NOT refused AND NOT spoilt AND rhythm NOT IN ('[EOS]', '[BOS]', '[PAD]') AS merged FROM n WHERE ended = 0"""
+)
+def sampled_tokens(spark, sf_dir):
+    return sampling.accepted(sampling.draws(_logits(spark, sf_dir)))
+
+
 # ---- jobs
 
 
