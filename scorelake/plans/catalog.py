@@ -585,7 +585,11 @@ def dedupe_staffs(spark, sf_dir):
     return ranking.without_duplicate_staffs(boxes(spark, sf_dir).select("page_id", F.col("box_id").alias("staff_id"), "x1", "y1", "x2", "y2", (F.col("h") % 7).alias("anchors")))
 
 
-@query()
+@query(
+    f"""{BOX}, o AS (SELECT page_id, x1, x2, CASE WHEN x1 >= lag(x2) OVER (PARTITION BY page_id ORDER BY x1, x2) THEN 1 ELSE 0 END AS new FROM boxes),
+    z AS (SELECT page_id, x1, x2, CAST(sum(new) OVER (PARTITION BY page_id ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS bigint) AS zone FROM o)
+    SELECT page_id, zone, min(x1) AS start, arg_max(x2, (x1, x2)) AS stop FROM z GROUP BY 1, 2"""
+)
 def merged_ranges(spark, sf_dir):
     return staffs.merged_ranges(boxes(spark, sf_dir).select("page_id", F.col("x1").alias("start"), F.col("x2").alias("stop")))
 

@@ -396,6 +396,26 @@ def transcriber_images(spark, sf_dir):
     return out.groupBy("page_id", "y").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("moment"))
 
 
+@query()
+def clef_anchors(spark, sf_dir):
+    """No SQL for the choice of peaks; tests/test_raw_staffs.py has plain code."""
+    clefs, pixels, sizes = _clef_pages(spark, sf_dir)
+    return staffs.anchors_from_clefs(clefs, pixels, sizes)
+
+
+def _clef_pages(spark, sf_dir):
+    """(clefs, mask, sizes): pages of 130 by 120 with three staffs of five lines, in noise; clefs stand on some of them."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    page, y, x = F.col("page_id"), F.col("y"), F.col("x")
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    line = (y - 10 - page % 7 - F.floor(x / 40)) % 40
+    pixels = rows.withColumn("y", side(120)).withColumn("x", side(130)).withColumn("v", ((line % 5 == 0) & (line >= 0) & (line < 25) | ((page * 31 + y * y * 17 + x * 7 + x * y * 3) % 11 == 0)).cast("int"))
+    clefs = rows.withColumn("k", side(3)).filter("(page_id + k) % 3 > 0")
+    k = F.col("k")
+    clefs = clefs.select("page_id", (page * 10 + k).alias("symbol_id"), (15.0 + k * 12 + page % 5 * 9).alias("cx"), (20.0 + page % 7 + 40 * k).alias("cy"), F.lit(14.0).alias("w"), F.lit(24.0).alias("h"), (page % 9 - 4).cast("double").alias("angle"), (4.0 + k).alias("unit"))
+    return clefs, pixels, rows.select("page_id", F.lit(130).cast("long").alias("width"), F.lit(120).cast("long").alias("height"))
+
+
 # ---- staffs of fragments: four tracks of five lines on each page, with gaps where no item fell
 
 
