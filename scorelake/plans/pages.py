@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions import geometry, music, tokens
-from scorelake.operators import codec, dewarp, document, ranking, raster, raw_staffs, sampling, spatial, staffs
+from scorelake.operators import codec, contrast, dewarp, document, ranking, raster, raw_staffs, sampling, spatial, staffs
 from scorelake.plans.catalog import BOX, SYM, TOKENS, note_tokens, query, token_strings
 from scorelake.plans.derived import boxes, symbols, table
 from scorelake.sources import jobs
@@ -340,6 +340,20 @@ def voted_classes(spark, sf_dir):
     return raster.averaged_classes(p)
 
 
+@query()
+def adjusted_pages(spark, sf_dir):
+    """No SQL, as light and contrast are a dozen steps; tests/test_contrast.py has plain code."""
+    out = contrast.color_adjusted(_pixels(spark, sf_dir).withColumn("v", 120 + F.col("v") % 130), 10)
+    return out.groupBy("page_id", "y").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("moment"))
+
+
+@query()
+def image_variants(spark, sf_dir):
+    """With squares of 3 in squares of 5; no SQL, see tests/test_contrast.py."""
+    out = contrast.image_variants(_pixels(spark, sf_dir), 40.0, 3, 5)
+    return out.groupBy("page_id", "attempt", "y").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("moment"))
+
+
 # ---- staffs: a page of 260 by 48 for each supplier, with a bent staff of five lines
 
 STAFFS = """sp AS (SELECT s_suppkey AS page_id, range * 10 AS x, 16.0 + abs((range * 10 + s_suppkey * 37) % 160 - 80) / 10.0 + s_suppkey % 3 AS mid FROM supplier, range(26)),
