@@ -80,7 +80,7 @@ def test_sounding_alters_of_a_stream(spark, tmp_path):
     df.filter("seq < 90").coalesce(1).write.parquet(str(tmp_path / "in/a"))
     df.filter("seq >= 90").coalesce(1).write.parquet(str(tmp_path / "in/b"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    query = streams.sounding_alters(source).writeStream.format("memory").queryName("alters").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = streams.sounding_alters(source, forget=False).writeStream.format("memory").queryName("alters").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {r.seq: r.alter_out for r in spark.table("alters").collect()}
     assert got == spec_alters(rows)
