@@ -331,6 +331,22 @@ def mask_regions(spark, sf_dir):
     return raster.region_extents(raster.regions(mask)).drop("region")
 
 
+REGIONS = """n AS (SELECT page_id, y * 40 + x AS id, y, x FROM px WHERE v % 5 = 0),
+    e AS (SELECT a.page_id, a.id AS u, b.id AS v FROM n a JOIN n b ON a.page_id = b.page_id AND a.id <> b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    reach AS (SELECT * FROM (WITH RECURSIVE r(page_id, node, root) AS (SELECT page_id, id, id FROM n UNION SELECT e.page_id, e.v, r.root FROM r JOIN e ON e.page_id = r.page_id AND e.u = r.node) SELECT page_id, node, min(root) AS root FROM r GROUP BY 1, 2))"""
+
+
+@query(
+    f"""WITH {PIXELS}, {REGIONS}, s AS (SELECT n.page_id, root, count(*) AS n, sum(x)::BIGINT AS x, sum(y)::BIGINT AS y, sum(x * x)::BIGINT AS xx, sum(y * y)::BIGINT AS yy, sum(x * y)::BIGINT AS xy FROM reach JOIN n ON n.page_id = reach.page_id AND id = node GROUP BY 1, 2),
+    m AS (SELECT *, (n * xx - x * x)::DOUBLE AS a, (n * yy - y * y)::DOUBLE AS b, (n * xy - x * y)::DOUBLE AS c FROM s)
+    SELECT page_id, round(x / n, 4) AS cx, round(y / n, 4) AS cy, round(4 * sqrt(greatest((a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c), 0)) / n, 4) AS w,
+      round(4 * sqrt(greatest((a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c), 0)) / n, 4) AS h, round(degrees(atan2(2 * c, a - b) / 2), 4) AS angle FROM m"""
+)
+def region_ellipses(spark, sf_dir):
+    mask = _pixels(spark, sf_dir).withColumn("v", (F.col("v") % 5 == 0).cast("int"))
+    return raster.region_ellipses(raster.regions(mask)).select("page_id", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "w", "h", "angle")))
+
+
 @query(
     """WITH m AS (SELECT l_orderkey // 100 AS page_id, l_partkey % 10 AS y, l_suppkey % 10 AS x, l_linenumber % 3 AS class, avg(l_quantity) AS p FROM lineitem GROUP BY 1, 2, 3, 4)
     SELECT page_id, y, x, arg_max(class, (p, -class)) AS class FROM m GROUP BY 1, 2, 3"""
