@@ -223,6 +223,19 @@ def braced_staffs(spark, sf_dir):
     return spatial.connected_staffs(links, b.groupBy("page_id", "staff_id").agg(F.min("y1").alias("min_y")))
 
 
+@query(
+    f"""{BOX}, t AS (SELECT boxes.*, rule, CASE rule WHEN 'clefs' THEN 0 ELSE h % 8 + 8 END AS half FROM boxes, (VALUES ('clefs'), ('lines')) r(rule) WHERE box_id % 4 = 0)
+    SELECT DISTINCT rule, a.page_id, a.box_id AS brace_id, b.y1 // 300 AS staff_id FROM t a JOIN boxes b ON a.page_id = b.page_id AND b.box_id % 4 = CASE rule WHEN 'clefs' THEN 1 ELSE 2 END
+      AND a.x1 - half <= b.x2 AND b.x1 <= a.x2 + half AND a.y1 - half <= b.y2 AND b.y1 <= a.y2 + half"""
+)
+def brace_rules(spark, sf_dir):
+    """Braces with clefs, as they are, and with staff lines, two units thicker."""
+    b = boxes(spark, sf_dir).withColumn("staff_id", F.floor(F.col("y1") / 300))
+    braces, symbol = b.filter("box_id % 4 = 0").withColumnRenamed("box_id", "brace_id"), b.withColumnRenamed("box_id", "symbol_id")
+    met = lambda rule, rest, thick: spatial.met_staffs(braces, symbol.filter(f"symbol_id % 4 = {rest}"), thick).select(F.lit(rule).alias("rule"), "page_id", "brace_id", "staff_id")
+    return met("clefs", 1, F.lit(0)).unionByName(met("lines", 2, 2 * (F.col("h") % 8 + 8)))
+
+
 @query(
     f"""{BOX}, f AS (SELECT page_id, box_id, x1 + w / 2.0 AS cx, y1 + h / 2.0 AS cy, w, box_id % 7 - 3 AS a FROM boxes), p AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b, a.cx AS acx, a.cy AS acy, a.w AS aw, a.a AS aa, b.cx AS bcx, b.cy AS bcy, b.w AS bw, b.a AS ba,
       (least(a.cx + a.w / 2.0, b.cx + b.w / 2.0) + greatest(a.cx - a.w / 2.0, b.cx - b.w / 2.0)) / 2 AS m FROM f a JOIN f b ON a.page_id = b.page_id AND a.box_id < b.box_id AND abs(a.cy - b.cy) < 60)
