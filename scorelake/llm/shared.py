@@ -79,6 +79,6 @@ def in_bitmap(wanted: DataFrame, column: str, probe: Column, bits: int = 18) ->
     words = [0] * (1 << (bits - 6))
     for c in cells:
         words[c >> 6] |= 1 << (c & 63)
-    table = F.lit([w - (1 << 64) if w >> 63 else w for w in words])
+    table = F.lit([w - (1 << 64) if w >> 63 else w for w in words]).cast("array<bigint>")  # small words alone would be ints
     cell = F.pmod(probe, F.lit(1 << bits)).cast("int")
     return F.getbit(F.get(table, F.shiftright(cell, 6)), cell.bitwiseAND(F.lit(63))) == 1

@@ -119,6 +119,14 @@ def test_ranks_are_gapless(spark):
         assert [r.rank for r in sorted((r for r in out if r.k == k), key=lambda r: r.id)] == list(range(len([r for r in out if r.k == k])))
 
 
+def test_bitmap_of_few_or_no_members(spark):
+    """Where all words of the bitmap are small numbers."""
+    for members in ([], [64], [0, 30]):
+        wanted = spark.createDataFrame([(m,) for m in members], "x long")
+        rows = spark.range(200).filter(in_bitmap(wanted, "x", F.col("id"))).collect()
+        assert [r.id for r in rows] == members
+
+
 def test_bitmap_rejects_no_member(spark):
     wanted = spark.range(500).select((F.xxhash64("id")).alias("h"))
     assert wanted.filter(in_bitmap(wanted, "h", F.col("h"), 10)).count() == 500
