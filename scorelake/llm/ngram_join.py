@@ -540,6 +540,10 @@ def one_of_each_component(df: DataFrame, k: int = 5, num: int = 80, den: int = 1
     gone = linked.filter("id is null or id <> component_id or h <> first").select("id", "h").distinct()
     repeated = linked.filter("id = component_id and h = first").groupBy("id", "h").count().filter("count > 1").select("id", "h")
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[id_col].cast("long").alias("id"), text_key(text_or_empty(df, text_col)).alias("h"))
+    # most rows are in neither, and stay where they are: whole texts are exchanged for the others alone
+    named = materialize(gone.select("h").unionByName(repeated.select("h")).select(F.xxhash64("h").alias("x")), "ngram-named")
+    met = in_bitmap(named, "x", F.xxhash64("h"))
+    rest, rows = rows.filter(~met).select("row"), rows.filter(met)
     rows = rows.join(gone.withColumnsRenamed({"id": "gone", "h": "gone_h"}), F.col("id").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
     again = rows.join(repeated, ["id", "h"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))).filter("rank = 1")
-    return rows.join(repeated, ["id", "h"], "left_anti").select("row").unionByName(again.select("row")).select("row.*")
+    return rows.join(repeated, ["id", "h"], "left_anti").select("row").unionByName(again.select("row")).unionByName(rest).select("row.*")
