@@ -1,12 +1,12 @@
 """Phrase collocation mining with compressed position bitmaps.
 
-Each task lays the words of its documents out as positions, with an empty one between pieces and between
-documents, and cuts them into shards of bounded length. A word has a bitmap of its positions, of which only the
+Tasks lay the words of their documents out as positions, with an empty one between pieces and between
+documents, and cut them into shards of bounded length. A word has a bitmap of its positions, of which only the
 blocks with a bit are stored. A phrase is extended by a word by shifting its bitmap one position on, AND with
 the word's bitmap, and a popcount of what is left; a shift out of a piece meets an empty position. Phrases are
 extended depth first, a slice of the bitmaps at a time, and the popcounts are summed over shards by Spark.
 
-There is a pass for each length. Its tasks only follow prefixes and suffixes that a filter has for frequent;
+There is a pass over the documents for each length. Its tasks only follow prefixes and suffixes that a filter has for frequent;
 the filter is a bitmap of at most 2**MOST_BITS cells, so it has the same bound whatever the corpus. It lets all frequent
 phrases pass and a few others, whose exact sums then tell.
 """
@@ -14,7 +14,6 @@ phrases pass and a few others, whose exact sums then tell.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,76 +26,112 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialize
-from .words import _BASE, mixed
+from .words import _BASE, _FIRST, mixed
 
-_BREAK = frozenset(b".,;:!?\n\x0b\x0c\r")
-_TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-_APART = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
+#: What ends a piece becomes a line feed, a tab a space, and A-Z are lower-cased.
+_PLAIN = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-#: Positions of a shard, about; entries of bitmaps that are extended at a time; bytes of a text that are cut into words at a time.
-SHARD, SLICE, CHUNK = 1 << 21, 1 << 17, 1 << 20
+#: Bytes of a shard, about, and entries of bitmaps that are extended at a time.
+SHARD, SLICE = 1 << 22, 1 << 16
 #: Bits of a block. Only blocks with a bit are stored.
 _BLOCK = 16
 #: Cells of the filter for each frequent phrase, and the log of the most cells (16 MB).
 CELLS, MOST_BITS = 16, 27
 #: What a language's words are cut into before its best are taken, so that no task ranks all of them.
 _PARTS = 64
+#: Words of more bytes are hashed and compared one by one.
+_LONG = 256
 
 
-class _Numbers(dict):
-    """Numbers from 1 for the words of a language, in a list of all languages' words; 0 for what ends a piece."""
-
-    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
-        self.lang, self.words = lang, words
-
-    def __missing__(self, token: bytes) -> int:
-        if token[0] in _BREAK:
-            self[token] = 0
-            return 0
-        self.words.append((self.lang, token))
-        self[token] = len(self.words)
-        return len(self.words)
-
+@dataclass
+class Shard:
+    """The number of the word at each position, 0 where there is none, and of each number from 1 the language, the word, and a hash of both."""
 
-def _chunks(data: bytes) -> Iterator[bytes]:
-    """The data in chunks of bounded size, cut between words."""
-    start = 0
-    while start < len(data):
-        cut = _APART.search(data, start + CHUNK)
-        end = cut.start() if cut else len(data)
-        yield data[start:end]
-        start = end
+    positions: np.ndarray
+    langs: list[str]
+    words: list[bytes]
+    hashes: np.ndarray
 
 
-def shards(rows: Iterable[tuple[str, bytes]]) -> Iterator[tuple[np.ndarray, list[tuple[str, bytes]]]]:
-    """(word number at each position, 0 where there is none; the (language, word) of each number from 1) of rows of language and text."""
-    words: list[tuple[str, bytes]] = []
-    numbers: dict[str, _Numbers] = {}
-    held: list[np.ndarray] = []
+def shards(rows: Iterable[tuple[str, bytes]]) -> Iterator[Shard]:
+    """Shards of bounded size of rows of language and text. A text that fills one goes on in another, from a piece's start."""
+    held: list[tuple[str, bytes]] = []
     size = 0
-    gap = np.zeros(1, np.int64)
-    for lang, data in rows:
-        of = numbers.get(lang) or numbers.setdefault(lang, _Numbers(lang, words))
-        for chunk in _chunks(data.lower()):
-            tokens = _TOKEN.findall(chunk)
-            part = np.fromiter(map(of.__getitem__, tokens), np.int64, len(tokens))
-            held.append(part)
-            size += len(part)
-            if size >= SHARD and len(gaps := np.flatnonzero(part == 0)):  # a long text goes on in another shard, from a piece's start
-                rest = tokens[gaps[-1] :]
-                held[-1] = part[: gaps[-1]]
-                yield np.concatenate(held), words
-                words, numbers = [], {}
-                of = numbers.setdefault(lang, _Numbers(lang, words))
-                held = [np.fromiter(map(of.__getitem__, rest), np.int64, len(rest))]
-                size = len(rest)
-        held.append(gap)
-        size += 1
+    for lang, text in rows:
+        data, start = text.translate(_PLAIN), 0
+        while size + len(data) - start >= SHARD:
+            cut = data.rfind(b"\n", start, start + max(1, SHARD - size))
+            cut = data.find(b"\n", start) if cut < 0 else cut
+            if cut < 0:
+                break
+            held.append((lang, data[start:cut]))
+            yield numbered(held)
+            held, size, start = [], 0, cut + 1
+        held.append((lang, data[start:]))
+        size += len(data) - start + 1
         if size >= SHARD:
-            yield np.concatenate(held), words
-            words, numbers, held, size = [], {}, [], 0
+            yield numbered(held)
+            held, size = [], 0
     if held:
-        yield np.concatenate(held), words
+        yield numbered(held)
+
+
+def numbered(texts: list[tuple[str, bytes]]) -> Shard:
+    """The shard of some texts, in which spaces part words and line feeds pieces."""
+    data = b"".join(t + b"\n" for _, t in texts) + bytes(8)
+    code = np.frombuffer(data, np.uint8)[:-8]
+    inside = np.zeros(len(code) + 2, np.int8)
+    inside[1:-1] = (code != 32) & (code != 10)
+    turns = np.diff(inside)
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    size = ends - starts
+    names = list(dict.fromkeys(lang for lang, _ in texts))
+    place = {lang: k for k, lang in enumerate(names)}
+    bounds = np.cumsum([len(t) + 1 for _, t in texts])
+    lang_of = np.array([place[lang] for lang, _ in texts])[np.searchsorted(bounds, starts, side="right")]
+    eights = np.ndarray(len(code) + 1, "<u8", data, strides=(1,))
+    salt = np.array([int.from_bytes(hashlib.sha256(lang.encode("utf-8", "surrogatepass")).digest()[:8], "little") for lang in names], np.uint64)
+    own = mixed(_eight(eights, starts, size, 0) ^ (size.astype(np.uint64) * _BASE) ^ salt[lang_of])
+    at, longer = 8, np.flatnonzero((size > 8) & (size <= _LONG))
+    while len(longer):
+        own[longer] = mixed(own[longer] * _BASE + mixed(_eight(eights, starts[longer], size[longer], at) + np.uint64(at)))
+        at += 8
+        longer = longer[size[longer] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        own[k] = own[k] ^ np.uint64(int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little"))
+    hashes, first, number = np.unique(own, return_index=True, return_inverse=True)
+    if not _same(data, eights, starts, size, lang_of, first[number]):  # two words with one hash, once in a long while
+        seen: dict[tuple, int] = {}
+        keys = [(int(n), data[a:b]) for n, a, b in zip(lang_of, starts, ends, strict=True)]
+        number = np.array([seen.setdefault(key, len(seen)) for key in keys], np.int64)
+        first = np.unique(number, return_index=True)[1]
+        hashes = own[first]
+    marks = np.zeros(len(code), np.int32)
+    marks[starts] = 1
+    marks[np.flatnonzero(code == 10)] = 1
+    spot = np.cumsum(marks, dtype=np.int32)
+    positions = np.zeros(int(spot[-1]) if len(spot) else 0, np.int64)
+    positions[spot[starts] - 1] = number + 1
+    words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return Shard(positions, [names[k] for k in lang_of[first].tolist()], words, hashes)
+
+
+def _eight(eights: np.ndarray, starts: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    """The bytes of each word from `at` on as one number, eight of them at most."""
+    return eights[starts + at] & _FIRST[np.clip(size - at, 0, 8)]
+
+
+def _same(data: bytes, eights: np.ndarray, starts: np.ndarray, size: np.ndarray, lang_of: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word is the other one, of the same language."""
+    if (size != size[other]).any() or (lang_of != lang_of[other]).any():
+        return False
+    at, left = 0, np.arange(len(size))
+    while at < _LONG and len(left):
+        if (_eight(eights, starts[left], size[left], at) != _eight(eights, starts[other[left]], size[left], at)).any():
+            return False
+        at += 8
+        left = left[size[left] > at]
+    return all(data[starts[k] : starts[k] + size[k]] == data[starts[other[k]] : starts[other[k]] + size[k]] for k in left.tolist())
 
 
 @dataclass
@@ -158,21 +193,16 @@ class Frequent:
         return self.cells[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1) != 0
 
 
-def _hashes(words: list[tuple[str, bytes]]) -> np.ndarray:
-    keys = {lang: hashlib.sha256(lang.encode("utf-8", "surrogatepass")).digest() for lang in {w[0] for w in words}}
-    return np.array([int.from_bytes(hashlib.blake2b(word, digest_size=8, key=keys[lang]).digest(), "little") for lang, word in words], np.uint64)
-
-
 def _joined(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a phrase of a prefix and a word."""
     return mixed(prefix * _BASE + word + np.uint64(1))
 
 
-def counted(positions: np.ndarray, words: list[tuple[str, bytes]], length: int, frequent: list[Frequent]) -> Iterator[tuple[list[str], list[bytes], np.ndarray, np.ndarray]]:
+def counted(shard: Shard, length: int, frequent: list[Frequent]) -> Iterator[tuple[list[str], list[bytes], np.ndarray, np.ndarray]]:
     """(languages, phrases, hashes, counts in the shard) of its phrases of that many words whose shorter parts are all frequent. frequent: by length less 1."""
-    hashes = _hashes(words)
+    positions, langs, words, hashes = shard.positions, shard.langs, shard.words, shard.hashes
     if length == 1:
-        yield [w[0] for w in words], [w[1] for w in words], hashes, word_bitmaps(positions, len(words)).popcounts(len(words))
+        yield langs, words, hashes, word_bitmaps(positions, len(words)).popcounts(len(words))
         return
     kept = frequent[0].has(hashes)
     n = int(kept.sum())
@@ -180,12 +210,13 @@ def counted(positions: np.ndarray, words: list[tuple[str, bytes]], length: int,
         return
     number = np.concatenate([[0], np.where(kept, np.cumsum(kept), 0)])
     own = word_bitmaps(number[positions], n)
-    words, hashes = [w for w, k in zip(words, kept, strict=True) if k], hashes[kept]
+    langs, words, hashes = ([x for x, k in zip(some, kept, strict=True) if k] for some in (langs, words, hashes))
+    hashes = np.array(hashes, np.uint64)
     starts = np.searchsorted(own.block, np.arange(len(positions) // _BLOCK + 2))
     order = np.argsort(own.phrase, kind="stable")
     own_down = Bitmaps(own.phrase[order], own.block[order], own.bits[order])
 
-    def deeper(prefixes: Bitmaps, names: list[bytes], langs: list[str], whole: np.ndarray, tail: np.ndarray, depth: int):
+    def deeper(prefixes: Bitmaps, names: list[bytes], own_langs: list[str], whole: np.ndarray, tail: np.ndarray, depth: int):
         """tail: the hash of each prefix without its first word, where there are more."""
         for a in range(0, len(prefixes.phrase), SLICE):
             some = Bitmaps(prefixes.phrase[a : a + SLICE], prefixes.block[a : a + SLICE], prefixes.bits[a : a + SLICE])
@@ -196,15 +227,15 @@ def counted(positions: np.ndarray, words: list[tuple[str, bytes]], length: int,
             if depth + 1 < length:
                 fits &= frequent[depth].has(full)
             longer, p, w, full, suffix = longer.where(fits), p[fits], w[fits], full[fits], suffix[fits]
-            found = [names[x] + b" " + words[y][1] for x, y in zip(p.tolist(), w.tolist(), strict=True)]
-            of = [langs[x] for x in p.tolist()]
+            found = [names[x] + b" " + words[y] for x, y in zip(p.tolist(), w.tolist(), strict=True)]
+            of = [own_langs[x] for x in p.tolist()]
             if depth + 1 == length:
                 yield of, found, full, longer.popcounts(len(found))
             elif found:
                 down = np.argsort(longer.phrase, kind="stable")
                 yield from deeper(Bitmaps(longer.phrase[down], longer.block[down], longer.bits[down]), found, of, full, suffix, depth + 1)
 
-    yield from deeper(own_down, [w[1] for w in words], [w[0] for w in words], hashes, hashes, 1)
+    yield from deeper(own_down, words, langs, hashes, hashes, 1)
 
 
 def _filter(counts: DataFrame) -> Frequent:
@@ -223,22 +254,20 @@ def _counts(texts: DataFrame, length: int, least: int, frequent: list[Broadcast]
     """lang, phrase, h, a of the phrases of that many words with a >= least, on shared files. Of length 1 also a row with a null phrase: the language's number of words."""
 
     def run(batches):
-        def rows():
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
         known = [f.value for f in frequent]
-        for positions, words in shards(rows()):
-            for langs, phrases, hashes, counts in counted(positions, words, length, known):
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for shard in shards(rows):
+            for langs, phrases, hashes, counts in counted(shard, length, known):
                 if length == 1:
-                    every = {lang: 0 for lang in langs}
+                    every = dict.fromkeys(langs, 0)
                     for lang, c in zip(langs, counts.tolist(), strict=True):
                         every[lang] += c
                     langs, phrases = [*langs, *every], [*phrases, *[None] * len(every)]
                     hashes, counts = np.concatenate([hashes, np.zeros(len(every), np.uint64)]), np.concatenate([counts, np.array([*every.values()], np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)], names=["lang", "phrase", "h", "c"])
 
-    found = texts.mapInArrow(run, "lang string, phrase binary, h long, c long").groupBy("lang", "phrase", "h").agg(F.sum("c").alias("a"))
+    # shards are sums already; a second table of them in each task would hold nearly as many rows, so the sums are made behind the exchange
+    found = texts.mapInArrow(run, "lang string, phrase binary, h long, c long").repartition("lang", "phrase", "h").groupBy("lang", "phrase", "h").agg(F.sum("c").alias("a"))
     return materialize(found.filter((F.col("a") >= least) | F.col("phrase").isNull()).withColumn("phrase", F.col("phrase").cast("string")), f"phrases-{length}")
 
 

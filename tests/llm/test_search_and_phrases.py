@@ -188,10 +188,10 @@ def found_phrases(spark, rows, **more):
     return sorted(map(tuple, phrases.collocations(df, **more).collect()))
 
 
-@pytest.mark.parametrize("shard, longest", [(1 << 21, 3), (64, 3), (500, 4)])
+@pytest.mark.parametrize("shard, longest", [(1 << 21, 3), (400, 3), (3000, 4)])
 def test_phrases(spark, monkeypatch, shard, longest):
     """Small shards and slices, so that texts and bitmaps are cut; overlaps, marks, null languages and texts, repeated rows, very long words and texts."""
-    for name, value in (("SHARD", shard), ("SLICE", 1 << 10), ("CHUNK", 100), ("CELLS", 2)):
+    for name, value in (("SHARD", shard), ("SLICE", 1 << 10), ("CELLS", 2)):
         monkeypatch.setattr(phrases, name, value)
     rng = random.Random(4)
     words = ["aa", "aa", "aa", "Ab", "c", "d", "É", "x-y", " ", "w" * 300, "\U0001f600"] + [f"w{i}" for i in range(30)]
@@ -211,6 +211,25 @@ def test_scores_are_whole_numbers_of_any_size():
     assert phrases.cut_score(a, left, right) == 1_000_000 * a**2 // (left * right) and phrases.cut_score(10, 10, 10) == 1_000_000
 
 
+def test_words_are_numbered_by_their_bytes(monkeypatch):
+    """Texts in order, with words of all lengths and equal beginnings; also where all hashes are one."""
+    texts = [("en", b"a b  a\n\nlonger-than-eight longer-than-nine a"), ("de", b"a b"), ("en", b""), ("en", b"x" * 300 + b" " + b"x" * 299 + b"y " + b"x" * 300 + b"\nb ")]
+    want = [[(lang, w) for w in piece.split()] for lang, t in texts for piece in t.split(b"\n")]
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(phrases, "mixed", lambda x: x * np.uint64(0))
+        shard = phrases.numbered(texts)
+        got, piece = [], []
+        for p in shard.positions.tolist():
+            if p:
+                piece.append((shard.langs[p - 1], shard.words[p - 1]))
+            else:
+                got.append(piece)
+                piece = []
+        assert got == want and len(set(zip(shard.langs, shard.words))) == len(shard.words) == len({x for w in want for x in w})
+    assert phrases.numbered([("en", b"")]).words == []
+
+
 def test_bitmaps_shift_and_count():
     """A phrase that starts in one block and ends in the next; a shift doesn't cross an empty position."""
     positions = np.array([0] * 15 + [1, 2, 1, 2, 0, 1, 0, 2] + [1, 2] * 20)
