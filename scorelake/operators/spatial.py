@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions import geometry
+from scorelake.sources.tables import by_key
 
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
@@ -31,7 +32,7 @@ def box_candidates(left: DataFrame, right: DataFrame, cell: float = 100.0, page:
     meets = (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))
     # a pair counts in the first cell that both cover, so it comes once
     first = (F.col("gx") == F.floor(F.greatest("a_x1", "b_x1") / cell)) & (F.col("gy") == F.floor(F.greatest("a_y1", "b_y1") / cell))
-    return spread(left, "a").join(spread(right, "b"), [page, "gx", "gy"]).filter(meets & first).select(page, "a", "b")
+    return spread(left, "a").join(by_key(spread(right, "b")), [page, "gx", "gy"]).filter(meets & first).select(page, "a", "b")
 
 
 def possibly_touching(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
@@ -90,7 +91,7 @@ def turned_corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column)
 def overlapping(left: DataFrame, right: DataFrame, test=polygons_overlap, cell: float = 100.0, page: str = "page_id") -> DataFrame:
     """(page, a, b): boxes whose polygons overlap. Sides: page, box_id, x1, y1, x2, y2, polygon."""
     pairs = box_candidates(left, right, cell, page)
-    pairs = pairs.join(left.select(page, F.col("box_id").alias("a"), F.col("polygon").alias("_p")), [page, "a"]).join(right.select(page, F.col("box_id").alias("b"), F.col("polygon").alias("_q")), [page, "b"])
+    pairs = pairs.join(by_key(left.select(page, F.col("box_id").alias("a"), F.col("polygon").alias("_p"))), [page, "a"]).join(by_key(right.select(page, F.col("box_id").alias("b"), F.col("polygon").alias("_q"))), [page, "b"])
     return pairs.filter(test("_p", "_q")).select(page, "a", "b")
 
 
@@ -101,7 +102,7 @@ def intervals_apart(left: DataFrame, right: DataFrame, key: str, size: int, low:
     b = right.select(F.col(key), F.col(low).alias("_low"), F.col(high).alias("_high")).withColumn("_cell", F.explode(_cells(F.col("_low"), F.col("_high"), size)))
     meets = (a[key] == b[key]) & (a["_cell"] == b["_cell"]) & (a[low] <= b["_high"]) & (b["_low"] <= a[high])
     # cells that meet nothing are counted against all cells of an interval
-    free = a.join(b, meets, "left_anti").groupBy(*[c for c in left.columns]).agg(F.count(F.lit(1)).alias("_free"))
+    free = a.join(by_key(b), meets, "left_anti").groupBy(*[c for c in left.columns]).agg(F.count(F.lit(1)).alias("_free"))
     return free.filter(F.col("_free") == F.size(_cells(F.col(low), F.col(high), size))).drop("_free", "_id")
 
 
@@ -132,7 +133,7 @@ def nearest_point(items: DataFrame, grid: DataFrame, keys=("page_id", "staff_id"
     points = grid.select(*keys, F.col("x").alias("grid_x"), *(c for c in grid.columns if c not in (*keys, "x"))).withColumn("_cell", F.floor(F.col("grid_x") / tolerance))
     away = F.abs(F.col("grid_x") - F.col("x"))
     more = [c for c in points.columns if c not in (*keys, "_cell")]
-    near = reach.join(points, [*keys, "_cell"]).filter(away <= tolerance).groupBy(*keys, item).agg(F.min_by(F.struct(*more), F.struct(away, F.col("grid_x"))).alias("_p"))
+    near = reach.join(by_key(points), [*keys, "_cell"]).filter(away <= tolerance).groupBy(*keys, item).agg(F.min_by(F.struct(*more), F.struct(away, F.col("grid_x"))).alias("_p"))
     return items.join(near, [*keys, item], "left").select(*items.columns, *(F.col(f"_p.{c}").alias(c) for c in more))
 
 
@@ -142,7 +143,7 @@ def on_staffs(symbols: DataFrame, grid: DataFrame, staffs: DataFrame, page: str
     symbols: page, symbol_id, x, cy; grid: page, staff_id, x, y (five lines), unit; staffs: page, staff_id,
     min_x, max_x, unit (the median of its points).
     """
-    near = symbols.join(staffs.select(page, "staff_id", "min_x", "max_x", F.col("unit").alias("staff_unit")), page).filter(F.col("x").between(F.col("min_x") - tolerance, F.col("max_x") + tolerance))
+    near = symbols.join(by_key(staffs.select(page, "staff_id", "min_x", "max_x", F.col("unit").alias("staff_unit"))), page).filter(F.col("x").between(F.col("min_x") - tolerance, F.col("max_x") + tolerance))
     points = grid.withColumnRenamed("unit", "point_unit")
     found = nearest_point(near, points, (page, "staff_id"), "symbol_id", tolerance).filter("grid_x is not null")
     zone = geometry.zone(F.col("y"), F.col("staff_unit"))
@@ -157,7 +158,7 @@ def staff_units(grid: DataFrame, keys=("page_id", "staff_id")) -> DataFrame:
 def nearest_staff(items: DataFrame, grid: DataFrame, page: str = "page_id", tolerance: float = 50.0) -> DataFrame:
     """(page, item_id, staff_id, distance): the staff whose lines are nearest in y at the item's x; off all grids 1e10 and the first staff."""
     staffs = grid.select(page, "staff_id").distinct()
-    pairs = items.join(staffs, page)
+    pairs = items.join(by_key(staffs), page)
     found = nearest_point(pairs, grid, (page, "staff_id"), "item_id", tolerance)
     distance = F.coalesce(F.array_min(F.transform("y", lambda v: F.abs(v - F.col("cy")))), F.lit(1e10))
     best = found.withColumn("distance", distance).groupBy(page, "item_id").agg(F.min(F.struct("distance", "staff_id")).alias("b"))
@@ -205,16 +206,16 @@ def in_view(min_x: Column, max_x: Column, min_y: Column, width: Column, height:
 def tall_elements(items: DataFrame, grid: DataFrame, staffs: DataFrame, page: str = "page_id") -> DataFrame:
     """Items taller than four units of their nearest staff, after a rough cut by the unit of the page's first staff."""
     first = staffs.groupBy(page).agg(F.min_by("unit", "min_y").alias("_u"))
-    rough = items.join(first, page).filter("h > 2 * _u and w < 3 * _u").drop("_u")
-    near = nearest_staff(rough, grid, page).join(staffs.select(page, "staff_id", "unit"), [page, "staff_id"])
-    return rough.join(near.select(page, "item_id", "staff_id", F.col("unit").alias("_v")), [page, "item_id"]).filter("h > 4 * _v").drop("_v", "staff_id")
+    rough = items.join(by_key(first), page).filter("h > 2 * _u and w < 3 * _u").drop("_u")
+    near = nearest_staff(rough, grid, page).join(by_key(staffs.select(page, "staff_id", "unit")), [page, "staff_id"])
+    return rough.join(by_key(near.select(page, "item_id", "staff_id", F.col("unit").alias("_v"))), [page, "item_id"]).filter("h > 4 * _v").drop("_v", "staff_id")
 
 
 def fragments_in_zones(fragments: DataFrame, zones: DataFrame, page: str = "page_id", cell: float = 50.0) -> DataFrame:
     """(page, anchor_id, fragment_id): fragments whose centre lies in an anchor's zone, ends included."""
     z = zones.select(page, "anchor_id", "low", "high").withColumn("_cell", F.explode(_cells(F.col("low"), F.col("high"), cell)))
     f = fragments.select(page, "fragment_id", "cy").withColumn("_cell", F.floor(F.col("cy") / cell))
-    return z.join(f, [page, "_cell"]).filter("cy between low and high").select(page, "anchor_id", "fragment_id")
+    return z.join(by_key(f), [page, "_cell"]).filter("cy between low and high").select(page, "anchor_id", "fragment_id")
 
 
 def contained_once(sets: DataFrame, supersets: DataFrame, page: str = "page_id") -> DataFrame:
@@ -226,12 +227,12 @@ def contained_once(sets: DataFrame, supersets: DataFrame, page: str = "page_id")
     of = lambda df, id_: df.groupBy(page, id_).agg(F.collect_set("item").alias("items"))
     each = of(supersets, "super_id").select(page, "super_id", "items", F.explode("items").alias("item"))
     often = each.groupBy(page, "item").agg(F.count(F.lit(1)).alias("n"))
-    own = sets.select(page, "set_id", "item").distinct().join(often, [page, "item"], "left")
+    own = sets.select(page, "set_id", "item").distinct().join(by_key(often), [page, "item"], "left")
     rarest = F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item")
     own = own.groupBy(page, "set_id").agg(F.collect_set("item").alias("own"), rarest)
-    met = own.join(each, [page, "item"]).filter(F.size(F.array_except("own", "items")) == 0)
+    met = own.join(by_key(each), [page, "item"]).filter(F.size(F.array_except("own", "items")) == 0)
     found = met.groupBy(page, "set_id").agg(F.min("super_id").alias("super_id"), F.count(F.lit(1)).alias("k"))
-    return own.select(page, "set_id").join(found, [page, "set_id"], "left").select(page, "set_id", F.when(F.col("k") == 1, F.col("super_id")).alias("super_id"))
+    return own.select(page, "set_id").join(by_key(found), [page, "set_id"], "left").select(page, "set_id", F.when(F.col("k") == 1, F.col("super_id")).alias("super_id"))
 
 
 def connected_staffs(links: DataFrame, staffs: DataFrame, page: str = "page_id") -> DataFrame:
