@@ -391,9 +391,9 @@ def texts_of(wanted: DataFrame, df: DataFrame, text_col: str = "text") -> DataFr
     return materialize(rows.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h", "left_semi"), "ngram-texts")
 
 
-def unsettled(star: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cluster, size, d, root, n, h) of the classes that meet in hot keys and are in more than one component of links."""
-    roots = components(links).withColumnRenamed("node", "d")
+def unsettled(star: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, size, d, root, n, h) of the classes that meet in hot keys and are in more than one component. roots: node, root of the links so far."""
+    roots = roots.withColumnRenamed("node", "d")
     members = components(star).withColumnsRenamed({"node": "d", "root": "cluster"})
     members = members.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     open_ = members.groupBy("cluster").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1")
@@ -488,6 +488,11 @@ def _with(pairs: DataFrame, star: DataFrame) -> DataFrame:
     return pairs.unionByName(star.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
 
 
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) with further links (u, v): what roots says of the earlier links stands in for them."""
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+
+
 def components_of(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(df, text_col)
     slim = df.select(df[id_col].cast("long").alias("id"), text_key(text).alias("h"), text.alias("text"))
@@ -503,20 +508,20 @@ def components_of(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
     pairs, hot = candidates(df, rule, text_col, clashing)
     star = materialize(stars(hot), "ngram-stars")
     links = materialize(verified(_with(pairs, star), classes, df, rule, text_col), "ngram-links")
+    roots = components(links)
     if star.take(1):
-        members = unsettled(star, links, classes)
+        members = unsettled(star, roots, classes)
         largest = members.agg(F.max("size")).first()[0]
         if largest:
             texts = texts_of(members, df, text_col)
             if largest > LARGE:
                 pairs, hot = candidates(texts, replace(rule, fine=True), "text", clashing)
                 star = materialize(stars(hot), "ngram-stars")
-                links = materialize(links.unionByName(verified(_with(pairs, star), classes, texts, rule)), "ngram-links")
-                members = unsettled(star, links, classes) if star.take(1) else members.limit(0)
+                roots = _grown(roots, verified(_with(pairs, star), classes, texts, rule))
+                members = unsettled(star, roots, classes) if star.take(1) else members.limit(0)
             if members.take(1):
-                links = links.unionByName(compared_in_blocks(members, texts, rule))
-    roots = components(links).withColumnRenamed("node", "d")
-    classes = classes.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
+                roots = _grown(roots, compared_in_blocks(members, texts, rule))
+    classes = classes.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     entries = classes.join(least, "root").select("d", "rows", "component_id", "root")
     found = join_entries(sets.select("id", "h", "n", "d"), entries, ["d"], "rows", slim.count())

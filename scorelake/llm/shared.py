@@ -74,11 +74,15 @@ def salted(rows: DataFrame, entries: DataFrame, key: str, n_rows: int, share: in
 
 
 def in_bitmap(wanted: DataFrame, column: str, probe: Column, bits: int = 18) -> Column:
-    """False only where probe is not among wanted's values: a bitmap of 2**bits cells, whatever wanted's size."""
-    cells = [r[0] for r in wanted.select(F.pmod(F.col(column), F.lit(1 << bits)).cast("int").alias("c")).distinct().collect()]
-    words = [0] * (1 << (bits - 6))
-    for c in cells:
-        words[c >> 6] |= 1 << (c & 63)
-    table = F.lit([w - (1 << 64) if w >> 63 else w for w in words]).cast("array<bigint>")  # small words alone would be ints
+    """False only where probe is not among wanted's values: a bitmap of 2**bits cells, whatever wanted's size.
+
+    The bitmap is a scalar subquery. As a literal, its words would be so many expressions in each version of the plan and
+    be printed in each of its descriptions, which the driver keeps.
+    """
+    c = F.pmod(F.col(column), F.lit(1 << bits))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    zeros = wanted.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
+    words = wanted.select(F.shiftright(c, 6).alias("at"), mask.alias("word")).unionByName(zeros).groupBy("at").agg(F.bit_or("word").alias("word"))
+    table = words.agg(F.sort_array(F.collect_list(F.struct("at", "word")))["word"].alias("bitmap")).scalar()
     cell = F.pmod(probe, F.lit(1 << bits)).cast("int")
     return F.getbit(F.get(table, F.shiftright(cell, 6)), cell.bitwiseAND(F.lit(63))) == 1

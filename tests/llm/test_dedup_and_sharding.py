@@ -132,6 +132,16 @@ def test_bitmap_rejects_no_member(spark):
     assert wanted.filter(in_bitmap(wanted, "h", F.col("h"), 10)).count() == 500
 
 
+def test_bitmap_is_not_printed_in_plans(spark):
+    """The driver keeps the descriptions of plans; with the words of the bitmap this one had 162,856 characters."""
+    wanted = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    met = in_bitmap(wanted, "h", F.xxhash64("id"))
+    rows = spark.range(20_000)
+    plan = rows.filter(met).unionByName(rows.filter(~met))
+    assert len(plan._jdf.queryExecution().toString()) < 40_000
+    assert plan.count() == 20_000 and 5000 <= rows.filter(met).count() < 6000
+
+
 @pytest.mark.parametrize(
     ("weights", "slots"),
     [
