@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scorelake.functions import geometry
 from scorelake.sources.tables import by_key
@@ -123,31 +125,61 @@ def noteheads_with_stems(noteheads: DataFrame, stems: DataFrame, thickness: floa
     return found.select(page, "notehead_id", "stem_id", F.when(F.col("_sy") < F.col("_y"), "up").when(F.col("_sy").isNotNull(), "down").alias("direction"))
 
 
+def _nearest(xs: np.ndarray, at: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each place the index of the nearest of sorted xs, the first of equally near ones; -1 beyond the tolerance."""
+    right = np.searchsorted(xs, at).clip(0, len(xs) - 1)
+    left = (right - 1).clip(0)
+    best = np.where(np.abs(xs[left] - at) <= np.abs(xs[right] - at), left, right)
+    return np.where(np.abs(xs[best] - at) <= tolerance, best, -1)
+
+
+def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(float)
+
+
 def nearest_point(items: DataFrame, grid: DataFrame, keys=("page_id", "staff_id"), item: str = "item_id", tolerance: float = 50.0) -> DataFrame:
     """Each item with the point of the grid nearest in x, the first of equally near ones; null beyond the tolerance.
 
-    items: keys, item, x; grid: keys, x and what a point has. Both are dealt by cells of the tolerance's
-    width, so an item meets only the points of three cells.
+    items: keys, item, x; grid: keys, x and what a point has. Both are grouped by the first key, a page; a grid that is dealt by it is not exchanged.
     """
-    reach = items.select(*keys, item, "x").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("x") / tolerance) - 1, F.floor(F.col("x") / tolerance) + 1)))
-    points = grid.select(*keys, F.col("x").alias("grid_x"), *(c for c in grid.columns if c not in (*keys, "x"))).withColumn("_cell", F.floor(F.col("grid_x") / tolerance))
-    away = F.abs(F.col("grid_x") - F.col("x"))
-    more = [c for c in points.columns if c not in (*keys, "_cell")]
-    near = reach.join(by_key(points), [*keys, "_cell"]).filter(away <= tolerance).groupBy(*keys, item).agg(F.min_by(F.struct(*more), F.struct(away, F.col("grid_x"))).alias("_p"))
-    return items.join(near, [*keys, item], "left").select(*items.columns, *(F.col(f"_p.{c}").alias(c) for c in more))
+    rest = list(keys[1:])
+    points = grid.toDF(*("grid_x" if c == "x" else c for c in grid.columns))
+    more = [c for c in points.columns if c not in keys]
+    schema = T.StructType([*items.schema.fields, *(T.StructField(f.name, f.dataType) for f in points.schema.fields if f.name in more)])
+    arrow = to_arrow_schema(schema)
+
+    def run(own: pa.Table, points: pa.Table) -> pa.Table:
+        points = points.sort_by([(c, "ascending") for c in (*rest, "grid_x")])
+        xs, at = _doubles(points["grid_x"]), _doubles(own["x"])
+        found = np.full(len(at), -1)
+        for key in set(zip(*(points[c].to_pylist() for c in rest), strict=True)) if rest else {()}:
+            here = lambda t: np.flatnonzero(np.logical_and.reduce([np.ones(len(t), bool), *(t[c].to_numpy() == k for c, k in zip(rest, key, strict=True))]))  # noqa: B023, E731
+            some, mine = here(points), here(own)
+            if len(some) and len(mine):
+                k = _nearest(xs[some], at[mine], tolerance)
+                found[mine] = np.where(k < 0, -1, some[k])
+        picked = points.select(more).take(pa.array(found, mask=found < 0))
+        return pa.table([*own.columns, *picked.columns], names=[*own.column_names, *more]).select(arrow.names).cast(arrow)
+
+    return items.groupBy(keys[0]).cogroup(points.groupBy(keys[0])).applyInArrow(run, schema)
 
 
 def on_staffs(symbols: DataFrame, grid: DataFrame, staffs: DataFrame, page: str = "page_id", tolerance: float = 50.0) -> DataFrame:
-    """(page, symbol_id, staff_id, grid_x, y, point_unit, unit): staffs in whose zone a symbol's centre lies; there may be several.
+    """(page, symbol_id, staff_id, x, cy, grid_x, y, point_unit, unit, and what more symbols have): staffs in whose zone a symbol's centre lies; there may be several.
 
     symbols: page, symbol_id, x, cy; grid: page, staff_id, x, y (five lines), unit; staffs: page, staff_id,
-    min_x, max_x, unit (the median of its points).
+    min_x, max_x, unit (the median of its points), and perhaps min_y, max_y, which spare most pairs.
     """
-    near = symbols.join(by_key(staffs.select(page, "staff_id", "min_x", "max_x", F.col("unit").alias("staff_unit"))), page).filter(F.col("x").between(F.col("min_x") - tolerance, F.col("max_x") + tolerance))
-    points = grid.withColumnRenamed("unit", "point_unit")
-    found = nearest_point(near, points, (page, "staff_id"), "symbol_id", tolerance).filter("grid_x is not null")
+    own = staffs.select(page, "staff_id", "min_x", "max_x", F.col("unit").alias("staff_unit"), *(c for c in ("min_y", "max_y") if c in staffs.columns))
+    near = symbols.join(by_key(own), page).filter(F.col("x").between(F.col("min_x") - tolerance, F.col("max_x") + tolerance))
+    if "min_y" in own.columns:
+        # the zones of all of a staff's points
+        reach = geometry.LEDGER_LINES * F.col("staff_unit")
+        near = near.filter(F.col("cy").between(F.col("min_y") - reach, F.col("max_y") + reach))
+    found = nearest_point(near.drop("min_x", "max_x", "min_y", "max_y"), grid.withColumnRenamed("unit", "point_unit"), (page, "staff_id"), "symbol_id", tolerance).filter("grid_x is not null")
     zone = geometry.zone(F.col("y"), F.col("staff_unit"))
-    return found.filter(F.col("cy").between(zone["top"], zone["bottom"])).select(page, "symbol_id", "staff_id", "x", "cy", "grid_x", "y", "point_unit", F.col("staff_unit").alias("unit"))
+    more = [c for c in symbols.columns if c not in (page, "symbol_id", "x", "cy")]
+    return found.filter(F.col("cy").between(zone["top"], zone["bottom"])).select(page, "symbol_id", "staff_id", "x", "cy", "grid_x", "y", "point_unit", F.col("staff_unit").alias("unit"), *more)
 
 
 def staff_units(grid: DataFrame, keys=("page_id", "staff_id")) -> DataFrame:
@@ -157,12 +189,28 @@ def staff_units(grid: DataFrame, keys=("page_id", "staff_id")) -> DataFrame:
 
 def nearest_staff(items: DataFrame, grid: DataFrame, page: str = "page_id", tolerance: float = 50.0) -> DataFrame:
     """(page, item_id, staff_id, distance): the staff whose lines are nearest in y at the item's x; off all grids 1e10 and the first staff."""
-    staffs = grid.select(page, "staff_id").distinct()
-    pairs = items.join(by_key(staffs), page)
-    found = nearest_point(pairs, grid, (page, "staff_id"), "item_id", tolerance)
-    distance = F.coalesce(F.array_min(F.transform("y", lambda v: F.abs(v - F.col("cy")))), F.lit(1e10))
-    best = found.withColumn("distance", distance).groupBy(page, "item_id").agg(F.min(F.struct("distance", "staff_id")).alias("b"))
-    return best.select(page, "item_id", "b.staff_id", "b.distance")
+    # pages of both are sorted for the rule anyway
+    own = items.join(by_key(grid.select(page).distinct()), page, "left_semi")
+    own = own.select(page, "item_id", F.col("x").cast("double").alias("x"), F.col("cy").cast("double").alias("cy"))
+    schema = T.StructType([own.schema[page], own.schema["item_id"], grid.schema["staff_id"], T.StructField("distance", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(own: pa.Table, points: pa.Table) -> pa.Table:
+        if not len(own):
+            return arrow.empty_table()
+        points = points.sort_by([("staff_id", "ascending"), ("x", "ascending")])
+        xs, at, cy = _doubles(points["x"]), _doubles(own["x"]), _doubles(own["cy"])
+        lines = _doubles(points["y"].combine_chunks().flatten()).reshape(len(xs), -1)
+        names, start = np.unique(points["staff_id"].to_numpy(), return_index=True)
+        away = []
+        for a, b in zip(start, [*start[1:], len(xs)], strict=True):
+            k = _nearest(xs[a:b], at, tolerance)
+            d = np.abs(lines[a:b][k] - cy[:, None]).min(axis=1)
+            away.append(np.where((k < 0) | np.isnan(d), 1e10, d))
+        best = np.argmin(away, axis=0)
+        return pa.table([own[page], own["item_id"], pa.array(names[best]), pa.array(np.min(away, axis=0))], names=arrow.names).cast(arrow)
+
+    return own.groupBy(page).cogroup(grid.select(page, "staff_id", F.col("x").cast("double").alias("x"), "y").groupBy(page)).applyInArrow(run, schema)
 
 
 # what belongs to a staff, by size and place: u is the unit of the staff or page
